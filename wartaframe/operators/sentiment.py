@@ -10,11 +10,15 @@ from wartaframe.functions import text as tx
 from wartaframe.functions.direction import DirectionRules, direction_score
 from wartaframe.operators.joins import fits_broadcast, join_lookup
 from wartaframe.operators.prepare import vocabulary_stems
+from wartaframe.session import checkpointed
+
+PHRASE_LANES = 64
 
 
 def stemmed_lexicon(entries: DataFrame, stems: DataFrame | None = None, **rules) -> DataFrame:
     """(entry_id, stem, weight, words): lexicon entries with each word stemmed."""
-    words = entries.withColumn("entry_id", F.monotonically_increasing_id()).select(
+    numbered = checkpointed(entries.withColumn("entry_id", F.monotonically_increasing_id()))
+    words = numbered.select(
         "entry_id", "weight", F.posexplode(tx.tokens(F.col("word"))).alias("pos", "word")
     )
     table = vocabulary_stems(words, stems, **rules).drop("n")
@@ -86,12 +90,14 @@ def phrase_matches(articles: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def _join_places(places: DataFrame, phrases: DataFrame) -> DataFrame:
-    grouped = phrases.groupBy("head").agg(
-        F.collect_list(F.struct("entry_id", "phrase", "weight")).alias("entries")
-    )
     if fits_broadcast(phrases):
         return places.join(F.broadcast(phrases), "head")
-    return join_lookup(places, grouped, "head").select("seq", "ahead", F.inline("entries"))
+    # A frequent first word meets its phrases in many lanes instead of one task.
+    lanes = F.explode(F.sequence(F.lit(0), F.lit(PHRASE_LANES - 1)))
+    lane = F.pmod(F.xxhash64("seq"), F.lit(PHRASE_LANES)).cast("int")
+    return places.withColumn("lane", lane).join(
+        phrases.withColumn("lane", lanes), ["head", "lane"]
+    )
 
 
 def phrase_scores(articles: DataFrame, phrases: DataFrame) -> DataFrame:
