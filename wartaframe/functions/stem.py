@@ -31,3 +31,11 @@ def affix_stem(word: Column, rules: Sequence[tuple[str, str]] = INDONESIAN_AFFIX
     for pattern, replacement in rules:
         word = F.regexp_replace(word, pattern, replacement)
     return word
+
+
+def stem_token(token: Column, rules: Sequence[tuple[str, str]] = INDONESIAN_AFFIXES) -> Column:
+    """Stem a token word by word: an expanded abbreviation holds two."""
+    words = F.transform(F.split(token, " "), lambda w: affix_stem(w, rules))
+    return F.when(F.contains(token, F.lit(" ")), F.array_join(words, " ")).otherwise(
+        affix_stem(token, rules)
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wartaframe.functions import fixed_values as fixed
 from wartaframe.functions import text as tx
-from wartaframe.functions.stem import INDONESIAN_AFFIXES, affix_stem
+from wartaframe.functions.stem import INDONESIAN_AFFIXES, stem_token
 from wartaframe.operators.joins import join_statistics
 from wartaframe.session import checkpointed
 
@@ -39,17 +39,12 @@ def vocabulary_stems(
     A token may hold two words (an expanded abbreviation): each is stemmed.
     """
     vocabulary = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rules = tuple(rules)
-
-    def by_rule(word: Column) -> Column:
-        parts = F.transform(F.split(word, " "), lambda w: affix_stem(w, rules))
-        return F.array_join(parts, " ")
-
+    by_rule = stem_token(F.col("word"), tuple(rules))
     if stems is None:
-        return vocabulary.select("word", by_rule(F.col("word")).alias("stem"), "n")
+        return vocabulary.select("word", by_rule.alias("stem"), "n")
     known = stems.select("word", F.col("stem").alias("_known"))
     return vocabulary.join(known, "word", "left").select(
-        "word", F.coalesce("_known", by_rule(F.col("word"))).alias("stem"), "n"
+        "word", F.coalesce("_known", by_rule).alias("stem"), "n"
     )
 
 
@@ -69,7 +64,7 @@ def stem_articles(
     normalised = tx.normalise_slang(tx.tokens(F.col(source)), slang)
     if stems is None:
         rules = tuple(rules)
-        stemmed = F.transform(normalised, lambda w: affix_stem(w, rules))
+        stemmed = F.transform(normalised, lambda w: stem_token(w, rules))
         return _finish(articles, stemmed, generic)
     tokens = articles.select("seq", F.posexplode(normalised).alias("pos", "word"))
     vocabulary = checkpointed(vocabulary_stems(tokens, stems, rules))

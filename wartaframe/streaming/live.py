@@ -11,14 +11,13 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from wartaframe.functions import dates
 from wartaframe.functions import fixed_values as fixed
 from wartaframe.functions import text as tx
-from wartaframe.functions.direction import DirectionRules
 from wartaframe.operators import prepare
-from wartaframe.operators.sentiment import label_of
-from wartaframe.functions.direction import direction_score
+from wartaframe.operators.sentiment import score_articles
 from wartaframe.schemas import FEED_ITEM
 from wartaframe.sources.feed import feed_articles
 
@@ -43,10 +42,20 @@ def prepared(articles: DataFrame, stopwords: Iterable[str] = (), **stemming) ->
     return prepare.stem_articles(prepare.clean_articles(articles, stopwords), **stemming)
 
 
-def direction_labels(articles: DataFrame, rules: DirectionRules = DirectionRules()) -> DataFrame:
-    """``sentiment`` from the direction rules, which need no table."""
-    score = direction_score(F.col("tokens_stemmed"), rules)
-    return articles.withColumn("sentiment", label_of(score, F.abs(score)))
+def write_scored(
+    articles: DataFrame, lexicon: DataFrame, path: str, checkpoint: str, **scoring
+) -> DataStreamWriter:
+    """Score each batch with the batch operators and append it to a table.
+
+    A batch that is run again after a failure replaces its own folder.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        scored = score_articles(batch, lexicon, **scoring)
+        labelled = scored.withColumn("sentiment", F.col("sentiment_lexicon"))
+        labelled.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return articles.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
 
 
 def trend(articles: DataFrame) -> DataFrame:
