@@ -168,10 +168,15 @@ _STEM_EACH = (
     "list_transform({tokens}, lambda t: array_to_string("
     "list_transform(string_split(t, ' '), lambda w: {stem}), ' '))"
 ).format(tokens=sql_slang(sql_tokens("clean_text")), stem=sql_stem("w"))
-STEMMED = f"""{CLEANED},
-stemmed_tokens AS (SELECT *, {sql_keep(_STEM_EACH, P.GENERIC)} AS tokens_stemmed FROM cleaned),
+
+
+def stemmed_from(source: str) -> str:
+    return f"""stemmed_tokens AS (SELECT *, {sql_keep(_STEM_EACH, P.GENERIC)} AS tokens_stemmed FROM {source}),
 stemmed AS (SELECT *, array_to_string(tokens_stemmed, ' ') AS text_final FROM stemmed_tokens)"""
 
+
+STEMMED = f"{CLEANED},\n{stemmed_from('cleaned')}"
+
 RAW_TOKENS = f"raw_tokens AS (SELECT doc_id AS seq, {sql_tokens(sql_clean('text'))} AS tokens FROM documents)"
 
 HUMAN = """human AS (SELECT doc_id AS seq, CASE WHEN toxic = 1 THEN 'Negatif' WHEN quality = 1 THEN 'Positif'
