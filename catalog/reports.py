@@ -61,7 +61,7 @@ def display_weights(spark, sf_dir):
     + """SELECT sentiment, kata, frekuensi, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY frekuensi DESC, kata) AS rank FROM (
     SELECT lower(sentiment) AS sentiment, kata, count(*) AS frekuensi
-    FROM (SELECT sentiment, unnest(tokens_stemmed) AS kata FROM scored) GROUP BY ALL)) WHERE rank <= 80""",
+    FROM (SELECT sentiment, unnest(string_split(text_final, ' ')) AS kata FROM scored WHERE text_final <> '') GROUP BY ALL)) WHERE rank <= 80""",
 )
 def sentiment_terms(spark, sf_dir):
     return keywords.sentiment_terms(labelled(spark, sf_dir))

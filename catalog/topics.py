@@ -103,11 +103,13 @@ def lda_assignments(spark, sf_dir):
     return model.transform(vectors).select("seq", dominant.alias("topik_dominan"))
 
 
-COHERENCE = """ids AS (SELECT seq, tokens_stemmed AS w FROM stemmed),
-windows AS (SELECT list_distinct(list_filter(w[s:s + 109], lambda t: t IN (SELECT term FROM words))) AS found
-  FROM (SELECT w, unnest(generate_series(1, greatest(len(w) - 109, 1))) AS s FROM ids)),
-sets AS (SELECT list_sort(found) AS found, count(*) AS n FROM windows GROUP BY 1),
-total AS (SELECT sum(n) AS n FROM sets),
+# An occurrence at position p lies in the windows that start at p - 109 to p.
+COHERENCE = """lengths AS (SELECT seq, greatest(len(tokens_stemmed) - 109, 1) AS starts FROM stemmed),
+total AS (SELECT sum(starts) AS n FROM lengths),
+occurrences AS (SELECT seq, unnest(tokens_stemmed) AS term, unnest(range(1, len(tokens_stemmed) + 1)) AS p FROM stemmed),
+inside AS (SELECT DISTINCT seq, term, unnest(generate_series(greatest(p - 109, 1), least(p, starts))) AS start
+  FROM occurrences JOIN lengths USING (seq) WHERE term IN (SELECT term FROM words)),
+sets AS (SELECT found, count(*) AS n FROM (SELECT list(term ORDER BY term) AS found FROM inside GROUP BY seq, start) GROUP BY found),
 single AS (SELECT term, sum(n) / (SELECT n FROM total) AS p FROM (SELECT unnest(found) AS term, n FROM sets) GROUP BY term),
 pair AS (SELECT a, b, sum(n) / (SELECT n FROM total) AS p FROM
   (SELECT a, unnest(found) AS b, n FROM (SELECT unnest(found) AS a, found, n FROM sets)) GROUP BY a, b),
@@ -122,9 +124,7 @@ cosines AS (SELECT cells.topic, a, coalesce(sum(v * s) / nullif(sqrt(sum(v * v))
 
 @query(
     "t6_coherence",
-    with_ctes(STEMMED, VOCABULARY, GIVEN.format(k=3), COHERENCE.replace(
-        "list_filter(w[s:s + 109], lambda t: t IN (SELECT term FROM words))",
-        "list_intersect(w[s:s + 109], (SELECT list(term) FROM words))"))
+    with_ctes(STEMMED, VOCABULARY, GIVEN.format(k=3), COHERENCE)
     + "SELECT topic, round(avg(c), 6) AS coherence FROM cosines GROUP BY topic",
 )
 def coherence(spark, sf_dir):
@@ -132,7 +132,16 @@ def coherence(spark, sf_dir):
     return topics.coherence(docs, given_words(docs, 3)).select("topic", r6("coherence").alias("coherence"))
 
 
-@query("t7_model_selection")
+BOTH_COUNTS = """dealt AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS place FROM vocabulary),
+words AS (SELECT k * 100 + place % k AS topic, term FROM dealt, (VALUES (3), (5)) AS ks(k) WHERE place < 60)"""
+
+
+@query(
+    "t7_model_selection",
+    with_ctes(STEMMED, VOCABULARY, BOTH_COUNTS, COHERENCE)
+    + """SELECT (topic // 100)::INTEGER AS k, round(avg(score), 6) AS coherence
+FROM (SELECT topic, avg(c) AS score FROM cosines GROUP BY topic) GROUP BY k ORDER BY coherence DESC, k LIMIT 1""",
+)
 def model_selection(spark, sf_dir):
     """The topic count with the highest coherence among given partitions of the words."""
     docs = corpus(spark, sf_dir)
@@ -153,12 +162,12 @@ def model_selection(spark, sf_dir):
 def dominant_topic(spark, sf_dir):
     """Given vectors: the shares of four initial letters."""
     words = F.col("tokens_stemmed")
-    shares = F.array(
-        *[
-            F.size(F.filter(words, lambda w, c=c: F.startswith(w, F.lit(c)))) / F.greatest(F.size(words), F.lit(1))
-            for c in "teao"
-        ]
-    )
+
+    def share(letter):
+        starting = F.filter(words, lambda w: F.startswith(w, F.lit(letter)))
+        return F.size(starting) / F.greatest(F.size(words), F.lit(1))
+
+    shares = F.array(*[share(letter) for letter in "teao"])
     return stemmed(spark, sf_dir).select("seq", topics.dominant_topic(shares).alias("topik_dominan"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wartaframe.functions import fixed_values as fixed
+from wartaframe.functions.text import evaluated_once
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,10 @@ def direction_matches(tokens: Column, rules: DirectionRules = DirectionRules())
     The neighbourhood is the tokens before and then after the word; its first
     member that contains a root decides, negative roots being tested first.
     """
+    return evaluated_once(tokens, lambda t: _matches(t, rules))
+
+
+def _matches(tokens: Column, rules: DirectionRules) -> Column:
     nothing = r"[^\s\S]"
     negative = "|".join(rules.negative_if_up) or nothing
     either = "|".join(rules.negative_if_up + rules.positive_if_up) or nothing

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,9 @@ _SPACE_SET = (
 SPACE = f"[{_SPACE_SET}]"
 NON_SPACE = f"[^{_SPACE_SET}]"
 EDGE_SPACE = f"^{SPACE}+|{SPACE}+$"
+SPACE_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 TAG = "<[^>]+>"
 WEB_ADDRESS = rf"http{NON_SPACE}+|www\.{NON_SPACE}+"
 NOT_ALPHANUMERIC = "[^a-z0-9]+"
@@ -42,9 +45,14 @@ BOILERPLATE = "(?is)" + "|".join(
 )
 
 
+def evaluated_once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` where the body may read the value many times, also per element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def unescape_entities(text: Column) -> Column:
@@ -175,12 +183,16 @@ def join_tokens(words: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """All runs of ``n`` neighbouring tokens, in order."""
-    last = F.size(words) - (n - 1)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-        lambda i: F.array_join(F.slice(words, i, n), " "),
-    )
-    return F.when(last >= 1, grams).otherwise(_string_array([]))
+
+    def runs(w: Column) -> Column:
+        last = F.size(w) - (n - 1)
+        grams = F.transform(
+            F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
+            lambda i: F.array_join(F.slice(w, i, n), " "),
+        )
+        return F.when(last >= 1, grams).otherwise(_string_array([]))
+
+    return words if n == 1 else evaluated_once(words, runs)
 
 
 def truncate(text: Column, length: int = fixed.ANNOTATION_CHARS) -> Column:
