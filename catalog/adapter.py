@@ -14,8 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of texts over all cores.
+
+    A corpus of many files has tasks enough as it is read. A single small file
+    is one row group, hence one task, so it is spread by its key first.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, key)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id")
     half = docs.agg(F.floor(F.count(F.lit(1)) / 2)).scalar()
     first_line = F.split_part("text", F.lit("\n"), F.lit(1))
     title = F.concat(first_line, F.lit(" - "), "source")
@@ -43,7 +54,7 @@ def stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned tokens with their stopwords: the direction words are among them."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id")
     return docs.select(
         F.col("doc_id").alias("seq"), tx.tokens(tx.clean_text(F.col("text"))).alias("tokens")
     )

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from catalog import params as P
 from catalog.adapter import (
     ARTICLES, articles, day_text, labelled_articles, q, sql_rejected, sql_replace, sql_strip,
-    sql_strip_html, sql_unescape, sql_words, stemmed, table, with_ctes, LABELLED, STEMMED,
+    sql_strip_html, sql_unescape, sql_words, stemmed, table, texts, with_ctes, LABELLED, STEMMED,
 )
 from catalog.registry import query
 from wartaframe.functions import dates
 from wartaframe.functions import fixed_values as fixed
 from wartaframe.functions import text as tx
 from wartaframe.operators import collect, dedup
+from wartaframe.session import checkpointed
 from wartaframe.sources import feed, tables
 
 START, END = dates.month_period(P.YEAR, P.MONTH)
@@ -187,7 +188,7 @@ accepted AS (SELECT url, arg_min(full_text, page_id) AS full_text FROM extracted
 SELECT page_id AS seq, url, coalesce(full_text, '') AS full_text FROM pages LEFT JOIN accepted USING (url)""",
 )
 def page_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages", "page_id")
     items = pages.select(F.col("page_id").alias("seq"), "url")
     return feed.with_page_text(items, pages, "page_id").select(
         "seq", "url", F.coalesce("full_text", F.lit("")).alias("full_text")
@@ -196,7 +197,7 @@ def page_text(spark, sf_dir):
 
 @query("a10_strip_html", f"SELECT page_id, {sql_strip_html('html')} AS stripped FROM pages")
 def strip_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages", "page_id").select(
         "page_id", tx.strip_html(F.col("html")).alias("stripped")
     )
 
@@ -207,7 +208,7 @@ def strip_html(spark, sf_dir):
 )
 def quality_gate(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", tx.word_count(text).alias("words"), tx.is_rejected_content(text).alias("rejected")
     )
 
@@ -233,7 +234,7 @@ filled AS (SELECT seq, judul, coalesce(nullif(full_text, ''), summary, judul, ''
 
 
 def filled(spark, sf_dir):
-    return collect.with_fallback_content(fetched(spark, sf_dir))
+    return checkpointed(collect.with_fallback_content(fetched(spark, sf_dir)))
 
 
 @query(
@@ -241,7 +242,9 @@ def filled(spark, sf_dir):
     with_ctes(ARTICLES, FETCHED) + "SELECT seq, content, is_full_text, scrape_status_label FROM filled",
 )
 def fallback_ladder(spark, sf_dir):
-    return filled(spark, sf_dir).select("seq", "content", "is_full_text", "scrape_status_label")
+    return collect.with_fallback_content(fetched(spark, sf_dir)).select(
+        "seq", "content", "is_full_text", "scrape_status_label"
+    )
 
 
 TRIED = f"""tried AS (SELECT * FROM (SELECT *, coalesce(sum(is_full_text::INTEGER) OVER (ORDER BY seq

@@ -49,9 +49,14 @@ def golden_split(spark, sf_dir):
     + "SELECT seq, term, round(w, 6) AS w FROM weights",
 )
 def corpus_tfidf(spark, sf_dir):
-    docs = checkpointed(features.with_terms(stemmed(spark, sf_dir)).select("seq", "terms"))
-    chosen = checkpointed(features.vocabulary(docs, 3000, min_df=2))
-    return features.tfidf_weights(docs, chosen).select("seq", "term", r6("w").alias("w"))
+    docs = stemmed(spark, sf_dir)
+    return corpus_weights(docs, 3000, min_df=2)
+
+
+def corpus_weights(docs, max_features, min_df):
+    counts = checkpointed(features.document_terms(features.with_terms(docs)))
+    chosen = checkpointed(features.vocabulary(counts, docs, max_features, min_df))
+    return features.tfidf_weights(counts, docs, chosen).select("seq", "term", r6("w").alias("w"))
 
 
 @query(
@@ -62,9 +67,7 @@ def corpus_tfidf(spark, sf_dir):
 )
 def golden_tfidf(spark, sf_dir):
     train = golden_split(spark, sf_dir).filter("NOT is_test")
-    docs = checkpointed(features.with_terms(train).select("seq", "terms"))
-    chosen = checkpointed(features.vocabulary(docs, 5000))
-    return features.tfidf_weights(docs, chosen).select("seq", "term", r6("w").alias("w"))
+    return corpus_weights(checkpointed(train), 5000, min_df=1)
 
 
 @query(

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from catalog import params as P
 from catalog.adapter import (
-    ASSEMBLED, ARTICLES, CLEANED, LABELLED, STEMMED, TITLE_CORE, articles, cleaned,
-    labelled_articles, q, q_list, r6, sql_clean, sql_keep, sql_replace, sql_slang, sql_stem,
-    sql_strip, sql_tokens, sql_unescape, stemmed, table, with_ctes,
+    ARTICLES, ASSEMBLED, CLEANED, LABELLED, STEMMED, TITLE_CORE, articles, cleaned,
+    labelled_articles, q, q_list, sql_clean, sql_replace, sql_slang, sql_stem, sql_tokens,
+    sql_unescape, stemmed, texts, with_ctes,
 )
 from catalog.registry import query
 from wartaframe.functions import text as tx
@@ -16,11 +16,11 @@ from wartaframe.operators import prepare, report
 
 
 def pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages")
+    return texts(spark, sf_dir, "pages", "page_id")
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return texts(spark, sf_dir, "documents", "doc_id")
 
 
 @query("c1_unescape", f"SELECT page_id, {sql_unescape('html')} AS plain FROM pages")

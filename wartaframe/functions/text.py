@@ -139,8 +139,15 @@ def tokens(text: Column) -> Column:
 
 def word_tokens(text: Column, min_length: int = 2) -> Column:
     """Lower-case runs of word characters with at least ``min_length`` of them."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+")
-    return F.filter(words, lambda t: F.length(t) >= min_length)
+
+    def words(t: Column) -> Column:
+        # Cleaned text is by far the most common input and needs no word pattern.
+        return F.when(F.rlike(t, F.lit("[^a-z0-9 ]")), F.split(t, r"(?U)\W+")).otherwise(
+            F.split(t, " ")
+        )
+
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return F.filter(evaluated_once(lowered, words), lambda w: F.length(w) >= min_length)
 
 
 def dynamic_stopwords(keyword: str = "", extra: str = "") -> list[str]:

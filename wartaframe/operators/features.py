@@ -22,46 +22,43 @@ def with_terms(docs: DataFrame, text: str = "text_final", column: str = "terms")
     ).drop("_w")
 
 
+def document_terms(docs: DataFrame, terms: str = "terms", seq: str = "seq") -> DataFrame:
+    """(seq, term, tf)."""
+    return (
+        docs.select(F.col(seq).alias("seq"), F.explode(terms).alias("term"))
+        .groupBy("seq", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+
+
+def term_frequencies(counts: DataFrame) -> DataFrame:
+    """(term, tf, df) over the corpus."""
+    return counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+
 def vocabulary(
-    docs: DataFrame,
+    counts: DataFrame,
+    corpus: DataFrame,
     max_features: int,
     min_df: int = 1,
     max_df: float = 0.9,
-    terms: str = "terms",
-    seq: str = "seq",
 ) -> DataFrame:
-    """(term, tf, df): the most frequent terms within the document-frequency bounds."""
-    limit = docs.agg(F.count(F.lit(1)) * F.lit(max_df)).scalar()
+    """(term, tf, df): the most frequent terms within the document-frequency bounds.
+
+    ``corpus`` has one row per document.
+    """
+    limit = corpus.agg(F.count(F.lit(1)) * F.lit(max_df)).scalar()
     return (
-        term_frequencies(docs, terms, seq)
+        term_frequencies(counts)
         .filter((F.col("df") >= min_df) & (F.col("df") <= limit))
         .orderBy(F.desc("tf"), "term")
         .limit(max_features)
     )
 
 
-def term_frequencies(docs: DataFrame, terms: str = "terms", seq: str = "seq") -> DataFrame:
-    """(term, tf, df) over the corpus."""
-    per_document = (
-        docs.select(F.col(seq).alias("seq"), F.explode(terms).alias("term"))
-        .groupBy("seq", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    return per_document.groupBy("term").agg(
-        F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")
-    )
-
-
-def tfidf_weights(
-    docs: DataFrame, chosen: DataFrame, terms: str = "terms", seq: str = "seq"
-) -> DataFrame:
+def tfidf_weights(counts: DataFrame, corpus: DataFrame, chosen: DataFrame) -> DataFrame:
     """(seq, term, w): unit-length smoothed TF-IDF over the chosen vocabulary."""
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    counts = (
-        docs.select(F.col(seq).alias("seq"), F.explode(terms).alias("term"))
-        .groupBy("seq", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    n = corpus.agg(F.count(F.lit(1))).scalar()
     idf = F.log((1 + n) / (1 + F.col("df"))) + 1
     raw = join_statistics(counts, chosen.select("term", "df"), "term", "df").withColumn(
         "raw", F.col("tf") * idf

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wartaframe.functions import fixed_values as fixed
-from wartaframe.operators.features import term_frequencies
-from wartaframe.operators.joins import join_lookup, join_statistics
+from wartaframe.operators.features import document_terms, term_frequencies
+from wartaframe.operators.joins import fits_broadcast, join_lookup, join_statistics
 from wartaframe.session import checkpointed
 
 NO_BELOW = 2
@@ -26,6 +26,7 @@ PASSES = 5
 BATCH_SHARE = 0.25
 COHERENCE_WORDS = 20
 COHERENCE_WINDOW = 110
+RUN_CELL = 1_024
 EPSILON = 1e-12
 MIN_PROBABILITY = 0.01
 
@@ -38,7 +39,7 @@ def topic_vocabulary(docs: DataFrame, tokens: str = "tokens_stemmed") -> DataFra
     """(term, tf, df): terms in at least 2 and at most 60 % of the documents."""
     limit = docs.agg(F.count(F.lit(1)) * F.lit(NO_ABOVE)).scalar()
     return (
-        term_frequencies(topic_tokens(docs, tokens), tokens)
+        term_frequencies(document_terms(topic_tokens(docs, tokens), tokens))
         .filter((F.col("df") >= NO_BELOW) & (F.col("df") <= limit))
         .orderBy(F.desc("df"), "term")
         .limit(KEEP_TERMS)
@@ -47,12 +48,7 @@ def topic_vocabulary(docs: DataFrame, tokens: str = "tokens_stemmed") -> DataFra
 
 def bag_of_words(docs: DataFrame, vocabulary: DataFrame, tokens: str = "tokens_stemmed") -> DataFrame:
     """(seq, term, n) over the vocabulary."""
-    counts = (
-        topic_tokens(docs, tokens)
-        .select("seq", F.explode(tokens).alias("term"))
-        .groupBy("seq", "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = document_terms(topic_tokens(docs, tokens), tokens).withColumnRenamed("tf", "n")
     return join_statistics(counts, vocabulary.select("term", "df"), "term", "df").select(
         "seq", "term", "n"
     )
@@ -99,30 +95,66 @@ def topic_words(model: LDAModel, words: list[str], n: int = COHERENCE_WORDS) ->
     )
 
 
-def window_sets(
+def window_runs(
     docs: DataFrame,
     words: DataFrame,
     tokens: str = "tokens_stemmed",
     window: int = COHERENCE_WINDOW,
 ) -> DataFrame:
-    """(terms, n): how many sliding windows hold exactly this set of topic words.
+    """(seq, term, a, b): runs of sliding windows that hold a topic word.
+
+    Windows are numbered by their first token. A word at position p is in the
+    windows p - window + 1 to p; overlapping runs of a word are joined. ``words``
+    (term) is the short list of topic words.
+    """
+    occurrences = docs.select(
+        "seq", _window_count(tokens, window).alias("last"), F.posexplode(tokens).alias("at", "term")
+    )
+    runs = join_lookup(occurrences, words.select("term").distinct(), "term").select(
+        "seq",
+        "term",
+        F.greatest(F.col("at") + 2 - window, F.lit(1)).alias("a"),
+        F.least(F.col("at") + 1, F.col("last")).alias("b"),
+    )
+    ordered = W.partitionBy("seq", "term").orderBy("b", "a")
+    gap = F.when(F.col("a") > F.lag("b").over(ordered) + 1, 1).otherwise(0)
+    return (
+        runs.withColumn("gap", gap)
+        .withColumn("run", F.sum("gap").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy("seq", "term", "run")
+        .agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        .drop("run")
+    )
+
+
+def _window_count(tokens: str, window: int) -> Column:
+    """A text shorter than the window is one window."""
+    return F.greatest(F.size(tokens) - (window - 1), F.lit(1))
 
-    ``words`` (term) is the short list of topic words. Windows are formed inside
-    each row and equal sets are counted before any pair of words is looked at.
+
+def shared_windows(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """(topic, a, b, n): windows that hold two different words of a topic, a < b.
+
+    Runs are cut at fixed places, so words meet only near each other and the
+    work grows with the length of a text, not with its square.
     """
-    chosen = words.select("term").distinct().agg(F.sort_array(F.collect_set("term"))).scalar()
-    kept = F.transform(tokens, lambda t: F.when(F.array_contains(F.col("_chosen"), t), t))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_kept") - (window - 1), F.lit(1)))
-    at = F.transform(
-        starts,
-        lambda s: F.array_sort(F.array_distinct(F.array_compact(F.slice("_kept", s, window)))),
+    first, last = F.floor(F.col("a") / RUN_CELL), F.floor(F.col("b") / RUN_CELL)
+    cut = (
+        runs.join(F.broadcast(words.select("topic", "term")), "term")
+        .withColumn("cell", F.explode(F.sequence(first, last)))
+        .select(
+            "seq", "topic", "cell", "term",
+            F.greatest(F.col("a"), F.col("cell") * RUN_CELL).alias("a"),
+            F.least(F.col("b"), (F.col("cell") + 1) * RUN_CELL - 1).alias("b"),
+        )
     )
+    left, right = cut.alias("l"), cut.alias("r")
+    meets = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("seq", "topic", "cell")]
+    overlap = F.least("l.b", "r.b") - F.greatest("l.a", "r.a") + 1
     return (
-        docs.select(F.col(tokens), chosen.alias("_chosen"))
-        .select(kept.alias("_kept"))
-        .select(F.explode(at).alias("terms"))
-        .groupBy("terms")
-        .agg(F.count(F.lit(1)).alias("n"))
+        left.join(right, [*meets, F.col("l.term") < F.col("r.term"), overlap > 0])
+        .groupBy("l.topic", F.col("l.term").alias("a"), F.col("r.term").alias("b"))
+        .agg(F.sum(overlap).alias("n"))
     )
 
 
@@ -134,21 +166,26 @@ def coherence(
 ) -> DataFrame:
     """(topic, coherence): the c_v measure (Roeder, Both, Hinneburg, WSDM 2015).
 
-    ``words`` holds (topic, term). Each word's vector of NPMI values with all
-    words of its topic is compared by cosine with the sum of those vectors.
+    ``words`` holds (topic, term), a few topics of about 20 words. Each word's
+    vector of NPMI values with all words of its topic is compared by cosine with
+    the sum of those vectors.
     """
     words = words.select("topic", "term").distinct()
-    sets = checkpointed(window_sets(docs, words, tokens, window))
-    total = sets.agg(F.sum("n")).scalar()
-    singles = sets.select(F.explode("terms").alias("term"), "n").groupBy("term").agg(
-        (F.sum("n") / total).alias("p")
+    if not fits_broadcast(words):
+        raise ValueError("coherence is a measure of short lists of topic words")
+    runs = checkpointed(window_runs(docs, words, tokens, window))
+    total = docs.agg(F.sum(_window_count(tokens, window))).scalar()
+    length = F.col("b") - F.col("a") + 1
+    singles = runs.groupBy("term").agg(F.sum(length).alias("n"))
+    singles = checkpointed(singles.select("term", (F.col("n") / total).alias("p")))
+    met = checkpointed(
+        shared_windows(runs, words).select("topic", "a", "b", (F.col("n") / total).alias("p_ab"))
     )
-    pairs = (
-        sets.select(F.explode("terms").alias("a"), "terms", "n")
-        .select("a", F.explode("terms").alias("b"), "n")
-        .groupBy("a", "b")
-        .agg((F.sum("n") / total).alias("p_ab"))
+    own = words.join(singles, "term").select(
+        "topic", F.col("term").alias("a"), F.col("term").alias("b"), F.col("p").alias("p_ab")
     )
+    mirrored = met.select("topic", F.col("b").alias("a"), F.col("a").alias("b"), "p_ab")
+    pairs = met.union(mirrored).union(own)
     # At most (topics x words) squared rows from here on.
     left = words.select("topic", F.col("term").alias("a"))
     right = words.select("topic", F.col("term").alias("b"))
@@ -158,7 +195,7 @@ def coherence(
         left.join(right, "topic")
         .join(singles.select(F.col("term").alias("a"), F.col("p").alias("p_a")), "a", "left")
         .join(singles.select(F.col("term").alias("b"), F.col("p").alias("p_b")), "b", "left")
-        .join(pairs, ["a", "b"], "left")
+        .join(pairs, ["topic", "a", "b"], "left")
         .select("topic", "a", "b", F.coalesce(npmi, F.lit(0.0)).alias("v"))
     )
     summed = cells.groupBy("topic", "b").agg(F.sum("v").alias("s"))

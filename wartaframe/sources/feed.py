@@ -49,11 +49,11 @@ def with_page_text(items: DataFrame, pages: DataFrame, order: str = "url") -> Da
     text counts, as a retry would.
     """
     text = tx.main_text(F.col("html"))
-    accepted = F.when(~tx.is_rejected_content(F.col("full_text")), F.col("full_text"))
+    # min_by skips null orders. A filter would be pushed below and extract again.
+    accepted = F.when(~tx.is_rejected_content(F.col("full_text")), F.col("_order"))
     landed = (
         pages.select("url", F.col(order).alias("_order"), text.alias("full_text"))
-        .withColumn("full_text", accepted)
-        .filter(F.col("full_text").isNotNull())
+        .withColumn("_order", accepted)
         .groupBy("url")
         .agg(F.min_by("full_text", "_order").alias("full_text"))
     )
