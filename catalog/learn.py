@@ -49,14 +49,13 @@ def golden_split(spark, sf_dir):
     + "SELECT seq, term, round(w, 6) AS w FROM weights",
 )
 def corpus_tfidf(spark, sf_dir):
-    docs = stemmed(spark, sf_dir)
-    return corpus_weights(docs, 3000, min_df=2)
+    return corpus_weights(stemmed(spark, sf_dir), 3000, min_df=2)
 
 
 def corpus_weights(docs, max_features, min_df):
-    counts = checkpointed(features.document_terms(features.with_terms(docs)))
-    chosen = checkpointed(features.vocabulary(counts, docs, max_features, min_df))
-    return features.tfidf_weights(counts, docs, chosen).select("seq", "term", r6("w").alias("w"))
+    docs = checkpointed(features.with_terms(docs).select("seq", "terms"))
+    chosen = checkpointed(features.vocabulary(docs, max_features, min_df))
+    return features.tfidf_weights(docs, chosen).select("seq", "term", r6("w").alias("w"))
 
 
 @query(
@@ -67,7 +66,7 @@ def corpus_weights(docs, max_features, min_df):
 )
 def golden_tfidf(spark, sf_dir):
     train = golden_split(spark, sf_dir).filter("NOT is_test")
-    return corpus_weights(checkpointed(train), 5000, min_df=1)
+    return corpus_weights(train, 5000, min_df=1)
 
 
 @query(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 # Applied in order; each rule leaves at least three letters of the word.
 INDONESIAN_AFFIXES: tuple[tuple[str, str], ...] = (
-    (r"^(.{3,})(?:lah|kah|tah|pun)$", "$1"),
+    (r"^(.{3,})(?:lah|kah|pun)$", "$1"),
     (r"^(.{3,})(?:nya|ku|mu)$", "$1"),
     (r"^(.{3,})(?:kan|an)$", "$1"),
     (r"^(?:di|ke|se)(.{4,})$", "$1"),

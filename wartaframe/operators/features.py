@@ -16,53 +16,71 @@ RANK_BUCKETS_HEX = 3
 
 def with_terms(docs: DataFrame, text: str = "text_final", column: str = "terms") -> DataFrame:
     """Words of at least two characters followed by their neighbouring pairs."""
-    words = tx.word_tokens(F.col(text))
-    return docs.withColumn("_w", words).withColumn(
-        column, F.concat("_w", tx.ngrams(F.col("_w"), 2))
-    ).drop("_w")
+    both = tx.evaluated_once(
+        tx.word_tokens(F.col(text)), lambda w: F.concat(w, tx.ngrams(w, 2))
+    )
+    return docs.withColumn(column, both)
+
 
+def term_frequencies(docs: DataFrame, terms: str = "terms") -> DataFrame:
+    """(term, tf, df) over the corpus.
 
-def document_terms(docs: DataFrame, terms: str = "terms", seq: str = "seq") -> DataFrame:
-    """(seq, term, tf)."""
+    Sorted terms tell the first of each kind in a document, so one aggregate by
+    term counts both without grouping by document before.
+    """
+    ordered = docs.select(F.sort_array(terms).alias("_t"))
+    marked = F.transform(
+        "_t",
+        lambda t, i: F.struct(
+            t.alias("term"), (~F.equal_null(F.get("_t", i - 1), t)).alias("first")
+        ),
+    )
     return (
-        docs.select(F.col(seq).alias("seq"), F.explode(terms).alias("term"))
-        .groupBy("seq", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        ordered.select(F.inline(marked))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("tf"), F.count_if("first").alias("df"))
     )
 
 
-def term_frequencies(counts: DataFrame) -> DataFrame:
-    """(term, tf, df) over the corpus."""
-    return counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
-
-
 def vocabulary(
-    counts: DataFrame,
-    corpus: DataFrame,
+    docs: DataFrame,
     max_features: int,
     min_df: int = 1,
     max_df: float = 0.9,
+    terms: str = "terms",
 ) -> DataFrame:
-    """(term, tf, df): the most frequent terms within the document-frequency bounds.
-
-    ``corpus`` has one row per document.
-    """
-    limit = corpus.agg(F.count(F.lit(1)) * F.lit(max_df)).scalar()
+    """(term, tf, df): the most frequent terms within the document-frequency bounds."""
+    limit = docs.agg(F.count(F.lit(1)) * F.lit(max_df)).scalar()
     return (
-        term_frequencies(counts)
+        term_frequencies(docs, terms)
         .filter((F.col("df") >= min_df) & (F.col("df") <= limit))
         .orderBy(F.desc("tf"), "term")
         .limit(max_features)
     )
 
 
-def tfidf_weights(counts: DataFrame, corpus: DataFrame, chosen: DataFrame) -> DataFrame:
+def chosen_counts(
+    docs: DataFrame, chosen: DataFrame, terms: str = "terms", seq: str = "seq"
+) -> DataFrame:
+    """(seq, term, df, tf) for the terms of a vocabulary (term, tf, df).
+
+    Terms outside the vocabulary are gone before rows are grouped.
+    """
+    occurrences = docs.select(F.col(seq).alias("seq"), F.explode(terms).alias("term"))
+    return (
+        join_statistics(occurrences, chosen.select("term", "tf", "df"), "term", "tf")
+        .groupBy("seq", "term", "df")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+
+
+def tfidf_weights(
+    docs: DataFrame, chosen: DataFrame, terms: str = "terms", seq: str = "seq"
+) -> DataFrame:
     """(seq, term, w): unit-length smoothed TF-IDF over the chosen vocabulary."""
-    n = corpus.agg(F.count(F.lit(1))).scalar()
+    n = docs.agg(F.count(F.lit(1))).scalar()
     idf = F.log((1 + n) / (1 + F.col("df"))) + 1
-    raw = join_statistics(counts, chosen.select("term", "df"), "term", "df").withColumn(
-        "raw", F.col("tf") * idf
-    )
+    raw = chosen_counts(docs, chosen, terms, seq).withColumn("raw", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("seq")))
     return raw.select("seq", "term", (F.col("raw") / norm).alias("w"))
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 HOT_KEYS = 1_000
 HOT_SPREAD = 1_024
 
 
-def fits_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def fits_broadcast(small: DataFrame) -> bool:
     """Whether the table was counted and found small enough to copy to every executor."""
-    return small.limit(rows + 1).count() <= rows
+    return small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def join_statistics(

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wartaframe.functions import fixed_values as fixed
-from wartaframe.operators.features import document_terms, term_frequencies
-from wartaframe.operators.joins import fits_broadcast, join_lookup, join_statistics
+from wartaframe.operators.features import chosen_counts, term_frequencies
+from wartaframe.operators.joins import fits_broadcast, join_lookup
 from wartaframe.session import checkpointed
 
 NO_BELOW = 2
@@ -39,7 +39,7 @@ def topic_vocabulary(docs: DataFrame, tokens: str = "tokens_stemmed") -> DataFra
     """(term, tf, df): terms in at least 2 and at most 60 % of the documents."""
     limit = docs.agg(F.count(F.lit(1)) * F.lit(NO_ABOVE)).scalar()
     return (
-        term_frequencies(document_terms(topic_tokens(docs, tokens), tokens))
+        term_frequencies(topic_tokens(docs, tokens), tokens)
         .filter((F.col("df") >= NO_BELOW) & (F.col("df") <= limit))
         .orderBy(F.desc("df"), "term")
         .limit(KEEP_TERMS)
@@ -48,10 +48,8 @@ def topic_vocabulary(docs: DataFrame, tokens: str = "tokens_stemmed") -> DataFra
 
 def bag_of_words(docs: DataFrame, vocabulary: DataFrame, tokens: str = "tokens_stemmed") -> DataFrame:
     """(seq, term, n) over the vocabulary."""
-    counts = document_terms(topic_tokens(docs, tokens), tokens).withColumnRenamed("tf", "n")
-    return join_statistics(counts, vocabulary.select("term", "df"), "term", "df").select(
-        "seq", "term", "n"
-    )
+    counts = chosen_counts(topic_tokens(docs, tokens), vocabulary, tokens)
+    return counts.select("seq", "term", F.col("tf").alias("n"))
 
 
 def topic_guard(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
