@@ -44,7 +44,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 def with_page_text(items: DataFrame, pages: DataFrame, order: str = "url") -> DataFrame:
     """Left join to the readable text (``full_text``) of the landed page of the url.
 
-    Text is extracted before the join, so raw markup never crosses the network.
+    ``items`` are deduplicated, hence unique in url. Text is extracted before the join, so raw markup never crosses the network.
     Of several landings of a url the first in ``order`` that yields an accepted
     text counts, as a retry would.
     """
