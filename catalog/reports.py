@@ -295,3 +295,48 @@ def evaluation_lines(spark, sf_dir):
     return evaluate.report_lines(counts).select(
         "bagian", "nama", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support"
     )
+
+
+@query(
+    "w1_report_bundle",
+    with_ctes(STEMMED, EVALUATED, NGRAMS.format(n=1, k=100).replace("ranked AS", "top_words AS"),
+              OVERALL)
+    + """SELECT 'ringkasan' AS sheet, 9::BIGINT AS n UNION ALL SELECT 'berita', count(*) FROM scored
+UNION ALL SELECT 'kata_kunci', count(*) FROM top_words UNION ALL SELECT 'topik_lda', 5
+UNION ALL SELECT 'validasi_model', 8 FROM overall""",
+)
+def report_bundle(spark, sf_dir):
+    """The five tables of a report with given topics and lexicon labels, as row counts."""
+    from wartaframe.plans.outputs import report_tables
+
+    docs = labelled(spark, sf_dir)
+    counts = report.sentiment_counts(docs)
+    metrics = evaluate.overall_metrics(evaluated(spark, sf_dir))
+    n = F.col("total_berita")
+    tables = report_tables(
+        {
+            "run_counts": counts.select(
+                "*", *[n.alias(c) for c in (
+                    "jumlah_sebelum_dedup", "total_pool_dicoba", "jumlah_didapat",
+                    "jumlah_setelah_exact_dedup", "jumlah_setelah_semantic_dedup")]
+            ),
+            "articles": docs,
+            "top_keywords": keywords.top_keywords(docs),
+            "topics": topics.topic_summary(
+                assigned(docs), topics.topic_definitions(given_words(docs, 5))
+            ),
+            "validation": metrics.select(
+                F.lit(True).alias("trained"), "accuracy", "precision", "recall", "f1",
+                F.lit(0).alias("train_size"), F.col("rows").alias("test_size"),
+                F.lit("").alias("note"),
+            ),
+        }
+    )
+    sheets = [
+        t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("sheet"), "n")
+        for name, t in tables.items()
+    ]
+    bundle = sheets[0]
+    for sheet in sheets[1:]:
+        bundle = bundle.union(sheet)
+    return bundle
