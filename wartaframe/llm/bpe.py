@@ -334,8 +334,11 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Number of tokens, digest of the ids and digest of the decoded text, per row."""
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Number of tokens, digest of the ids and digest of the decoded text, per row.
+
+    ``with_ids`` adds the ids themselves.
+    """
     vocabulary = Vocabulary(path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,21 +346,24 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         numbers = [str(i) for i in range(vocabulary.size)]
         for batch in batches:
             for piece in pieces(batch):
-                counts, id_digests, text_digests = [], [], []
+                counts, id_digests, text_digests, all_ids = [], [], [], []
                 for ids in encoder.encode(piece.column("text").to_pylist()):
                     counts.append(len(ids))
+                    if with_ids:
+                        all_ids.append(ids)
                     listed = ",".join(map(numbers.__getitem__, ids))
                     id_digests.append(hashlib.sha256(listed.encode()).hexdigest())
                     text_digests.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("doc_id").cast(pa.int64()),
-                        pa.array(counts, pa.int64()),
-                        pa.array(id_digests, pa.string()),
-                        pa.array(text_digests, pa.string()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                columns = {
+                    "doc_id": piece.column("doc_id").cast(pa.int64()),
+                    "n_tokens": pa.array(counts, pa.int64()),
+                    "ids_sha256": pa.array(id_digests, pa.string()),
+                    "decoded_sha256": pa.array(text_digests, pa.string()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema += ", ids array<int>" if with_ids else ""
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
