@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """A table of texts over all cores.
 
-    A corpus of many files has tasks enough as it is read. A single small file
-    is one row group, hence one task, so it is spread by its key first.
+    A table read in fewer splits than there are cores holds less than a split for
+    each core, so dealing it out is bounded; any larger table is read as it lies.
     """
     rows = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, key)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

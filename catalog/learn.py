@@ -71,14 +71,14 @@ def golden_tfidf(spark, sf_dir):
 
 @query(
     "m3_feature_assembly",
-    with_ctes(GOLDEN, TERMS.format(source="golden", min_df=1, max_features=2000))
+    with_ctes(GOLDEN, TERMS.format(source="golden", min_df=1, max_features=5000))
     + f"""SELECT seq, coalesce(n_terms, 0) AS n_terms, round(coalesce(length, 0), 6) AS length,
   {direction_score_sql('tokens_stemmed')}::DOUBLE AS dir_score
 FROM golden LEFT JOIN (SELECT seq, count(*) AS n_terms, sqrt(sum(w * w)) AS length FROM weights GROUP BY seq) USING (seq)""",
 )
 def feature_assembly(spark, sf_dir):
     docs = checkpointed(classify.with_model_input(golden(spark, sf_dir), rules=P.RULES))
-    stages = classify.feature_stages(docs, classify.SvmSettings(max_features=2000))
+    stages = classify.feature_stages(docs, classify.SvmSettings(max_features=5000))
     vectors = docs
     for stage in stages:
         vectors = stage.transform(vectors)
@@ -110,19 +110,42 @@ def class_weights(spark, sf_dir):
     )
 
 
-@query("m6_linear_svm")
+@query(
+    "m6_linear_svm",
+    with_ctes(GOLDEN, SPLIT, """tested AS (SELECT label_manual, count(*) FILTER (is_test) AS n FROM split GROUP BY label_manual)""")
+    + """SELECT true AS trained, 'human labels' AS evaluated_against,
+  (SELECT count(*) FROM split WHERE NOT is_test) AS train_size, (SELECT count(*) FROM split WHERE is_test) AS test_size,
+  (SELECT string_agg(label_manual, ',' ORDER BY label_manual) FROM tested) AS labels,
+  (SELECT string_agg(n::VARCHAR, ',' ORDER BY label_manual) FROM tested) AS supports, true AS metrics_in_range""",
+)
 def linear_svm(spark, sf_dir):
-    """Held-out metrics of the model trained on the human labels."""
-    return classify.train_golden(golden(spark, sf_dir), rules=P.RULES)[1]
+    """The validation row of the model trained on the human labels: sizes, labels, class supports, ranges."""
+    row = classify.train_golden(golden(spark, sf_dir), rules=P.RULES)[1]
+    supports = F.transform("confusion_matrix", lambda r: F.aggregate(r, F.lit(0).cast("bigint"), lambda s, x: s + x))
+    in_range = [F.col(c).between(0.0, 1.0) for c in ("accuracy", "precision", "recall", "f1")]
+    return row.select(
+        "trained", "evaluated_against", "train_size", "test_size",
+        F.array_join("labels", ",").alias("labels"),
+        F.array_join(supports.cast("array<string>"), ",").alias("supports"),
+        (in_range[0] & in_range[1] & in_range[2] & in_range[3]).alias("metrics_in_range"),
+    )
 
 
-@query("m7_prediction_confidence")
+@query(
+    "m7_prediction_confidence",
+    with_ctes(GOLDEN, SPLIT) + "SELECT seq, is_test, true AS known, true AS in_range FROM split",
+)
 def prediction_confidence(spark, sf_dir):
+    """Each row of the split gets one of the labels and a confidence above 0 and up to 1."""
     split = checkpointed(
         classify.with_model_input(golden_split(spark, sf_dir), rules=P.RULES)
     )
     model = classify.fit_svm(split.filter("NOT is_test"), "label_manual")
-    return model.predict(split).select("seq", "sentiment", "sentiment_score")
+    score = F.col("sentiment_score")
+    return model.predict(split).select(
+        "seq", "is_test", F.col("sentiment").isin(list(model.labels)).alias("known"),
+        ((score > 0) & (score <= 1)).alias("in_range"),
+    )
 
 
 @query(
@@ -141,12 +164,27 @@ def training_gates(spark, sf_dir):
     )
 
 
-@query("m9_model_precedence")
+@query(
+    "m9_model_precedence",
+    with_ctes(STEMMED, SCORED)
+    + """SELECT branch, seq, evaluated_against, true AS known, true AS in_range
+FROM scored, (VALUES ('corpus', 'lexicon'), ('saved', 'human labels')) AS b(branch, evaluated_against)""",
+)
 def model_precedence(spark, sf_dir):
-    """Without a saved model the corpus model predicts; its row says what it learnt from."""
-    docs, validation = classify.classify(checkpointed(scored(spark, sf_dir)), rules=P.RULES)
-    against = validation.select("evaluated_against").scalar()
-    return docs.select("seq", "sentiment", "sentiment_score", against.alias("evaluated_against"))
+    """Without a saved model the corpus model predicts, with one that model; the row says what it learnt from."""
+    docs = checkpointed(scored(spark, sf_dir))
+    saved, metrics = classify.train_golden(golden(spark, sf_dir), rules=P.RULES)
+    branches = {"corpus": classify.classify(docs, rules=P.RULES), "saved": classify.classify(docs, saved, metrics, rules=P.RULES)}
+    score = F.col("sentiment_score")
+    rows = [
+        predicted.select(
+            F.lit(name).alias("branch"), "seq", F.lit(validation.first().evaluated_against).alias("evaluated_against"),
+            F.col("sentiment").isin("Negatif", "Netral", "Positif").alias("known"),
+            ((score > 0) & (score <= 1)).alias("in_range"),
+        )
+        for name, (predicted, validation) in branches.items()
+    ]
+    return rows[0].union(rows[1])
 
 
 EVALUATED = f"""{SCORED},

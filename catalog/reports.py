@@ -21,7 +21,7 @@ from wartaframe.session import checkpointed
 NGRAMS = """grams AS (SELECT seq, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) AS kata,
     unnest(range(1, len(w) - {n} + 2)) AS pos
   FROM (SELECT seq, string_split(text_final, ' ') AS w FROM stemmed WHERE text_final <> '')),
-ranked AS (SELECT kata, count(*) AS frekuensi, min(seq * 16777216 + pos) AS first FROM grams GROUP BY kata
+ranked AS (SELECT kata, count(*) AS frekuensi, min(struct_pack(s := seq, p := pos)) AS first FROM grams GROUP BY kata
   ORDER BY frekuensi DESC, first LIMIT {k})"""
 
 
@@ -126,15 +126,19 @@ def status_counts(spark, sf_dir):
 
 @query(
     "r4_kpi_ratios",
-    with_ctes(STEMMED, SCORED, EXACT.replace("{source}", "scored"), f"counts AS (SELECT {COUNTS} FROM exact)")
+    with_ctes(
+        STEMMED, SCORED, EXACT.replace("{source}", "scored"), VECTORS.format(source="exact").replace("tokens AS", "near_tokens AS").replace("FROM tokens GROUP", "FROM near_tokens GROUP"),
+        PAIRS, GREEDY.format(source="exact"), f"class_counts AS (SELECT {COUNTS} FROM near)", recursive=True,
+    )
     + """SELECT (SELECT count(*) FROM scored) AS total, total_berita AS unik,
   round(100 * total_berita / nullif((SELECT count(*) FROM scored), 0))::INTEGER AS unik_pct,
   round(100 * positif / nullif(total_berita, 0))::INTEGER AS positif_pct, round(100 * negatif / nullif(total_berita, 0))::INTEGER AS negatif_pct,
-  round(100 * netral / nullif(total_berita, 0))::INTEGER AS netral_pct FROM counts""",
+  round(100 * netral / nullif(total_berita, 0))::INTEGER AS netral_pct FROM class_counts""",
 )
 def kpi_ratios(spark, sf_dir):
-    docs = labelled(spark, sf_dir)
-    return report.kpi_ratios(report.sentiment_counts(dedup.exact_dedup(docs)), docs)
+    docs = checkpointed(labelled(spark, sf_dir))
+    unique = dedup.near_dedup(checkpointed(dedup.exact_dedup(docs)), threshold=P.THRESHOLD)
+    return report.kpi_ratios(report.sentiment_counts(unique), docs)
 
 
 @query(
@@ -213,29 +217,35 @@ def period_label(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", end.cast("string").alias("label_end"))
 
 
-RUN = f"""exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(judul), source ORDER BY seq) AS rn FROM scored) WHERE rn = 1),
-run AS (SELECT (SELECT count(*) FROM scored) AS a, (SELECT count(*) FROM tried) AS b,
+RUN_EXACT = """exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(judul), source ORDER BY seq) AS rn FROM scored) WHERE rn = 1)"""
+RUN = f"""run AS (SELECT (SELECT count(*) FROM scored) AS a, (SELECT count(*) FROM tried) AS b,
   (SELECT least(count(*), {P.LIMIT}) FROM tried WHERE is_full_text OR trim(content) <> '') AS c,
   (SELECT count(*) FROM exact) AS d, count(*) AS e, count(*) FILTER (sentiment = 'Positif') AS p,
-  count(*) FILTER (sentiment = 'Negatif') AS n, count(*) FILTER (sentiment = 'Netral') AS o FROM exact)"""
+  count(*) FILTER (sentiment = 'Negatif') AS n, count(*) FILTER (sentiment = 'Netral') AS o FROM near)"""
+NEAR_OF_EXACT = (
+    VECTORS.format(source="exact").replace("tokens AS", "near_tokens AS").replace("FROM tokens GROUP", "FROM near_tokens GROUP"),
+    PAIRS,
+    GREEDY.format(source="exact"),
+)
 
 
 @query(
     "w2_summary_table",
-    with_ctes(STEMMED, SCORED, FETCHED, TRIED, RUN)
+    with_ctes(STEMMED, SCORED, FETCHED, TRIED, RUN_EXACT, *NEAR_OF_EXACT, RUN, recursive=True)
     + """SELECT unnest(generate_series(1, 9))::INTEGER AS no, unnest(['Total berita (sebelum dedup)', 'Total kandidat dicoba', 'Berhasil di-scrape',
   'Setelah dedup exact', 'Setelah dedup semantic', 'Total berita final', 'Sentimen Positif', 'Sentimen Negatif', 'Sentimen Netral']) AS "Metrik",
   unnest([a, b, c, d, e, e, p, n, o])::VARCHAR AS "Nilai" FROM run""",
 )
 def summary_table(spark, sf_dir):
-    docs = labelled(spark, sf_dir)
+    docs = checkpointed(labelled(spark, sf_dir))
     tried = collect.until_quota(filled(spark, sf_dir), P.LIMIT)
     collected = collect.collection_counts(collect.top_up(tried, P.LIMIT), tried)
     exact = checkpointed(dedup.exact_dedup(docs))
+    unique = checkpointed(dedup.near_dedup(exact, threshold=P.THRESHOLD))
     from wartaframe.plans.analyze import _run_counts
 
     return report.summary_table(
-        _run_counts(dedup.funnel(docs, exact, exact), report.sentiment_counts(exact), collected)
+        _run_counts(dedup.funnel(docs, exact, unique), report.sentiment_counts(unique), collected)
     )
 
 

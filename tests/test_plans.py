@@ -39,7 +39,7 @@ def landed(tmp_path, n=60):
 def test_analysis_from_landed_feed_to_report(spark, tmp_path):
     folder, pages = landed(tmp_path)
     items = feed.read_feed(spark, folder)
-    page_table = spark.createDataFrame(pages, "url string, html string")
+    page_table = spark.createDataFrame([(*p, 1) for p in pages], "url string, html string, attempt bigint")
     lexicon = spark.createDataFrame(
         [("untung", 4.0), ("naik", -2.0), ("turun", -3.0), ("harga beras", -1.0)], "word string, weight double"
     )

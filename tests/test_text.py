@@ -100,7 +100,7 @@ def test_slang_and_stems(spark):
     assert by_rules[0].tokens_stemmed == ["merintah daerah", "naik", "yang", "tidak"]
     assert by_rules[0].text_final == "merintah daerah naik yang tidak"
     assert by_rules[1].tokens_stemmed == []
-    stems = spark.createDataFrame([("pemerintah daerah", "perintah daerah"), ("naik", "up")], "word string, stem string")
+    stems = spark.createDataFrame([("pemerintah", "perintah"), ("naik", "up"), ("naik", "up2")], "word string, stem string")
     by_table = prepare.stem_articles(articles, stems).orderBy("seq").collect()
     assert by_table[0].tokens_stemmed == ["perintah daerah", "yang", "tidak"]
     assert by_table[1].tokens_stemmed == []

@@ -15,8 +15,8 @@ def sampling_key(key: Column, seed: int = fixed.SEED) -> Column:
 
 
 def seeded_sample(rows: DataFrame, n: int, key: str = "id", seed: int = fixed.SEED) -> DataFrame:
-    """Exactly min(n, rows) rows without replacement."""
-    return rows.orderBy(sampling_key(F.col(key), seed), key).limit(n)
+    """Exactly min(n, rows) rows without replacement, in the order of their key."""
+    return rows.orderBy(sampling_key(F.col(key), seed), key).limit(n).orderBy(key)
 
 
 def blinded_split(sample: DataFrame) -> tuple[DataFrame, DataFrame]:

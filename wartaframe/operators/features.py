@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from wartaframe.functions import fixed_values as fixed
 from wartaframe.functions import text as tx
 from wartaframe.operators.curate import sampling_key
-from wartaframe.operators.joins import join_statistics
+from wartaframe.operators.joins import join_lookup, join_statistics
 
 RANK_BUCKETS_HEX = 3
 
@@ -143,7 +143,7 @@ def stratified_split(
         )
     )
     if quotas.filter("_smallest < 2").isEmpty():
-        ranked = ranked_in_class(rows, label, key, seed).join(quotas.select(label, "_quota"), label)
+        ranked = join_lookup(ranked_in_class(rows, label, key, seed), quotas.select(label, "_quota"), label)
         return ranked.withColumn("is_test", F.col("class_rank") <= F.col("_quota")).drop(
             "class_rank", "_quota"
         )

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 1_000
 HOT_SPREAD = 1_024
 
 
 def fits_broadcast(small: DataFrame) -> bool:
-    """Whether the table was counted and found small enough to copy to every executor."""
-    return small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether the table was measured and found small enough to copy to every executor."""
+    texts = [c for c, kind in small.dtypes if kind not in ("bigint", "int", "double", "boolean")]
+    width = F.lit(8 * len(small.columns))
+    for name in texts:
+        width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
+    rows, size = small.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
 def join_statistics(

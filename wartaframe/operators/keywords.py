@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wartaframe.functions import text as tx
 
-# Positions in one document fit below this, so that (seq, position) is one number.
-POSITIONS = 1 << 24
+# Arrays hold fewer elements than this, so (seq, position) is one wide number.
+POSITIONS = Decimal(1 << 31)
 
 
 def ngram_counts(docs: DataFrame, n: int, text: str = "text_final") -> DataFrame:
     """(kata, frekuensi, first): occurrences and the place of the first one.
 
-    ``first`` keeps the document order and then the position. It is one bigint,
+    ``first`` keeps the document order and then the position. It is one decimal,
     so the counting stays a hash aggregate that combines before its shuffle.
     """
     words = tx.word_tokens(F.col(text), min_length=1)
+    place = (F.col("seq").cast("decimal(20,0)") * F.lit(POSITIONS) + F.col("pos")).cast("decimal(38,0)")
     return (
         docs.filter(F.col(text).isNotNull())
         .select("seq", F.posexplode(tx.ngrams(words, n)).alias("pos", "kata"))
         .groupBy("kata")
         .agg(
             F.count(F.lit(1)).alias("frekuensi"),
-            F.min(F.col("seq") * POSITIONS + F.col("pos")).alias("first"),
+            F.min(place).alias("first"),
         )
     )
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from wartaframe.functions import fixed_values as fixed
 from wartaframe.functions import text as tx
-from wartaframe.functions.stem import INDONESIAN_AFFIXES, stem_token
-from wartaframe.operators.joins import join_statistics
+from wartaframe.functions.stem import INDONESIAN_AFFIXES, affix_stem, stem_token
+from wartaframe.operators.joins import join_lookup, join_statistics
 from wartaframe.session import checkpointed
 
 
@@ -29,6 +29,20 @@ def clean_articles(
     )
 
 
+def drop_listed_words(articles: DataFrame, stopwords: DataFrame, text: str = "clean_text") -> DataFrame:
+    """``text`` without the words of a table (word), which may be of any length."""
+    listed = stopwords.select("word", F.lit(True).alias("_listed")).distinct()
+    tokens = articles.select("seq", F.posexplode(tx.tokens(F.col(text))).alias("pos", "word"))
+    kept = (
+        join_lookup(tokens, listed, "word", "left")
+        .filter(F.col("_listed").isNull())
+        .groupBy("seq")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("_kept"))
+    )
+    left = F.coalesce(tx.join_tokens(F.col("_kept.word")), F.lit(""))
+    return articles.join(kept, "seq", "left").withColumn(text, left).drop("_kept")
+
+
 def vocabulary_stems(
     tokens: DataFrame,
     stems: DataFrame | None = None,
@@ -42,9 +56,20 @@ def vocabulary_stems(
     by_rule = stem_token(F.col("word"), tuple(rules))
     if stems is None:
         return vocabulary.select("word", by_rule.alias("stem"), "n")
-    known = stems.select("word", F.col("stem").alias("_known"))
-    return vocabulary.join(known, "word", "left").select(
-        "word", F.coalesce("_known", by_rule).alias("stem"), "n"
+    # Several rows of a word count as its first stem in their order.
+    known = stems.groupBy("word").agg(F.min("stem").alias("_known"))
+    parts = vocabulary.select(
+        F.col("word").alias("_token"), "n", F.posexplode(F.split("word", " ")).alias("_at", "word")
+    )
+    looked_up = parts.join(known, "word", "left").select(
+        "_token", "n", "_at", F.coalesce("_known", affix_stem(F.col("word"), tuple(rules))).alias("_stem")
+    )
+    # A token holds one or two words, so these groups are tiny.
+    whole = looked_up.groupBy("_token", "n").agg(
+        F.sort_array(F.collect_list(F.struct("_at", "_stem"))).alias("_parts")
+    )
+    return whole.select(
+        F.col("_token").alias("word"), F.array_join("_parts._stem", " ").alias("stem"), "n"
     )
 
 

@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from wartaframe.functions import fixed_values as fixed
 from wartaframe.functions import text as tx
 from wartaframe.functions.direction import DirectionRules, direction_score
-from wartaframe.operators.joins import fits_broadcast, join_lookup
+from wartaframe.operators.joins import join_lookup, join_statistics
 from wartaframe.operators.prepare import vocabulary_stems
 from wartaframe.session import checkpointed
 
-PHRASE_LANES = 64
-
 
 def stemmed_lexicon(entries: DataFrame, stems: DataFrame | None = None, **rules) -> DataFrame:
     """(entry_id, stem, weight, words): lexicon entries with each word stemmed."""
@@ -58,46 +56,39 @@ def word_scores(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
 def phrase_matches(articles: DataFrame, phrases: DataFrame) -> DataFrame:
     """(seq, entry_id, weight) once per phrase that is a substring of ``text_final``.
 
-    A phrase may start inside a word, so the end of every word that equals the
-    first word of a phrase is a place where it may start. That makes the match
-    an equi-join; the rest of the phrase is compared with the words that follow.
+    A phrase may start inside a word, where the end of the word equals the first
+    word of the phrase. Each distinct word of the corpus is matched with those
+    heads once; the tokens then meet their few phrases by equality, and the rest of
+    a phrase is compared with the words that follow.
     """
-    keyed = phrases.select(
-        "entry_id", "phrase", "weight", F.substring_index("phrase", " ", 1).alias("head")
+    parted = phrases.select(
+        "entry_id",
+        "weight",
+        F.substring_index("phrase", " ", 1).alias("head"),
+        F.regexp_replace("phrase", "^[^ ]* ?", "").alias("rest"),
     )
-    longest = keyed.agg(F.max(F.size(F.split("phrase", " ")))).scalar()
+    longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).scalar()
     words = F.split("text_final", " ")
-    places = (
-        articles.select("seq", words.alias("w"), F.coalesce(longest, F.lit(1)).alias("k"))
-        .select(
-            "seq",
-            F.explode(
-                F.transform("w", lambda _, i: F.array_join(F.slice("w", i + 1, F.col("k")), " "))
-            ).alias("ahead"),
-        )
-        .select(
-            "seq",
-            "ahead",
-            F.explode(
-                F.sequence(F.lit(1), F.greatest(F.length(F.substring_index("ahead", " ", 1)), F.lit(1)))
-            ).alias("at"),
-        )
-        .select("seq", F.expr("substring(ahead, at)").alias("ahead"))
-        .withColumn("head", F.substring_index("ahead", " ", 1))
+
+    def token(word: Column, i: Column) -> Column:
+        following = F.slice("w", i + 2, F.col("k"))
+        return F.struct(word.alias("word"), F.array_join(following, " ").alias("following"))
+
+    tokens = articles.select("seq", words.alias("w"), (F.coalesce(longest, F.lit(1)) - 1).alias("k")).select(
+        "seq", F.inline(F.transform("w", token))
     )
-    found = _join_places(places, keyed).filter(F.startswith("ahead", "phrase"))
-    return found.select("seq", "entry_id", "weight").distinct()
-
-
-def _join_places(places: DataFrame, phrases: DataFrame) -> DataFrame:
-    if fits_broadcast(phrases):
-        return places.join(F.broadcast(phrases), "head")
-    # A frequent first word meets its phrases in many lanes instead of one task.
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(PHRASE_LANES - 1)))
-    lane = F.pmod(F.xxhash64("seq"), F.lit(PHRASE_LANES)).cast("int")
-    return places.withColumn("lane", lane).join(
-        phrases.withColumn("lane", lanes), ["head", "lane"]
+    vocabulary = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    endings = vocabulary.select(
+        "word", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))).alias("at")
+    ).select("word", "n", F.expr("substring(word, at)").alias("head"))
+    by_head = parted.groupBy("head").agg(F.collect_list(F.struct("entry_id", "rest", "weight")).alias("entries"))
+    known = checkpointed(
+        join_lookup(endings, by_head, "head")
+        .groupBy("word", "n")
+        .agg(F.flatten(F.collect_list("entries")).alias("entries"))
     )
+    found = join_statistics(tokens, known, "word", "n").select("seq", "following", F.inline("entries"))
+    return found.filter(F.startswith("following", "rest")).select("seq", "entry_id", "weight").distinct()
 
 
 def phrase_scores(articles: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -35,14 +35,20 @@ def topic_tokens(docs: DataFrame, tokens: str = "tokens_stemmed") -> DataFrame:
     return docs.withColumn(tokens, F.filter(tokens, lambda t: F.length(t) > 2))
 
 
-def topic_vocabulary(docs: DataFrame, tokens: str = "tokens_stemmed") -> DataFrame:
-    """(term, tf, df): terms in at least 2 and at most 60 % of the documents."""
+def topic_vocabulary(
+    docs: DataFrame, tokens: str = "tokens_stemmed", keep_terms: int = KEEP_TERMS
+) -> DataFrame:
+    """(term, tf, df): terms in at least 2 and at most 60 % of the documents.
+
+    Of more than ``keep_terms`` the most widespread ones stay: an LDA model holds
+    its whole vocabulary, so that number bounds the model.
+    """
     limit = docs.agg(F.count(F.lit(1)) * F.lit(NO_ABOVE)).scalar()
     return (
         term_frequencies(topic_tokens(docs, tokens), tokens)
         .filter((F.col("df") >= NO_BELOW) & (F.col("df") <= limit))
         .orderBy(F.desc("df"), "term")
-        .limit(KEEP_TERMS)
+        .limit(keep_terms)
     )
 
 
@@ -136,9 +142,11 @@ def shared_windows(runs: DataFrame, words: DataFrame) -> DataFrame:
     Runs are cut at fixed places, so words meet only near each other and the
     work grows with the length of a text, not with its square.
     """
+    listed = words.select("topic", "term")
+    listed = F.broadcast(listed) if fits_broadcast(listed) else listed
     first, last = F.floor(F.col("a") / RUN_CELL), F.floor(F.col("b") / RUN_CELL)
     cut = (
-        runs.join(F.broadcast(words.select("topic", "term")), "term")
+        runs.join(listed, "term")
         .withColumn("cell", F.explode(F.sequence(first, last)))
         .select(
             "seq", "topic", "cell", "term",
@@ -169,8 +177,6 @@ def coherence(
     the sum of those vectors.
     """
     words = words.select("topic", "term").distinct()
-    if not fits_broadcast(words):
-        raise ValueError("coherence is a measure of short lists of topic words")
     runs = checkpointed(window_runs(docs, words, tokens, window))
     total = docs.agg(F.sum(_window_count(tokens, window))).scalar()
     length = F.col("b") - F.col("a") + 1
@@ -310,7 +316,7 @@ def model_topics(
             [], "id int, label string, terms array<string>, jumlah_berita bigint, share double"
         )
         return plain, topics, spark.createDataFrame([], "name string, value bigint")
-    # The vocabulary is capped at KEEP_TERMS words, which the LDA model holds anyway.
+    # The vocabulary is bounded by keep_terms, and the LDA model holds it anyway.
     words = [r.term for r in terms.orderBy(F.desc("df"), "term").collect()]
     counter = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="bow")
     vectors = checkpointed(counter.transform(topic_tokens(docs, tokens)).select("seq", tokens, "bow"))

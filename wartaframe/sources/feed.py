@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wartaframe.functions import text as tx
+from wartaframe.operators.joins import fits_broadcast
 from wartaframe.schemas import ARTICLE, FEED_ITEM, PAGE
 
 
@@ -41,13 +42,18 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.schema(PAGE).format(fmt).load(path)
 
 
-def with_page_text(items: DataFrame, pages: DataFrame, order: str = "url") -> DataFrame:
+def with_page_text(items: DataFrame, pages: DataFrame, order: str) -> DataFrame:
     """Left join to the readable text (``full_text``) of the landed page of the url.
 
-    ``items`` are deduplicated, hence unique in url. Text is extracted before the join, so raw markup never crosses the network.
-    Of several landings of a url the first in ``order`` that yields an accepted
-    text counts, as a retry would.
+    ``items`` are deduplicated, hence unique in url. Only landings of their urls are
+    read further, and text is extracted where a page lies: raw markup crosses the
+    network only if the urls are too many to copy. Of several landings of a url the
+    first in ``order`` (an attempt or a time) that yields an accepted text counts,
+    as a retry would.
     """
+    wanted = items.select("url").distinct()
+    wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+    pages = pages.join(wanted, "url", "left_semi")
     text = tx.main_text(F.col("html"))
     # min_by skips null orders. A filter would be pushed below and extract again.
     accepted = F.when(~tx.is_rejected_content(F.col("full_text")), F.col("_order"))
