@@ -56,7 +56,9 @@ PAIR_GROUPS = 8
 HELD_OUT = (7, 2)
 END = np.uint64(0x656E64)
 _COUNTED = "bucket int, kind int, words binary, docs binary, texts binary, counts binary"
-_SUMMED = "kind int, id long, text int, value double, n long, known long, bits binary"
+_SUMMED_NAMES = ["kind", "id", "n", "known", "bits", "docs", "texts", "logs", "counts", "knowns"]
+_SUMMED = "kind int, id long, n long, known long, " + ", ".join(f"{c} binary" for c in _SUMMED_NAMES[4:])
+NOTHING = (b"",) * 5
 
 
 def _training(doc_ids: pa.Array) -> np.ndarray:
@@ -252,6 +254,28 @@ def _counted(docs: DataFrame, heavy: np.ndarray, frequent: np.ndarray, groups: i
     return docs.select("doc_id", "text").mapInArrow(rows, _COUNTED)
 
 
+def _document_sums(docs: np.ndarray, texts: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct documents and the sums of their values."""
+    order = np.lexsort((texts, docs))
+    docs, texts = docs[order], texts[order]
+    changed = (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1])
+    heads = np.flatnonzero(np.concatenate(([len(docs) > 0], changed)))
+    sums = [np.add.reduceat(v[order], heads) if len(heads) else v for v in values]
+    return [docs[heads], texts[heads], *sums]
+
+
+def _rare_sums(sums: DataFrame) -> DataFrame:
+    """Sums over the rare words of each document, from the packed parts of all groups."""
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        kinds = (("docs", np.int64), ("texts", np.int32), ("logs", np.float64), ("counts", np.int64), ("knowns", np.int64))
+        found = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in kinds]
+        return pa.Table.from_arrays([pa.array(c) for c in _document_sums(*found)], ["id", "text", "_value", "_n", "_known"])
+
+    parts = sums.filter("kind = 0").select("id", "docs", "texts", "logs", "counts", "knowns")
+    return parts.groupBy("id").applyInArrow(total, "id long, text int, _value double, _n long, _known long")
+
+
 def _grouped(counted: DataFrame, groups: int) -> DataFrame:
     """Sums per document, heavy counts, pair statistics and filter segments of each group."""
     most_bits = FILTER_BYTES * 8 // (groups + PAIR_GROUPS)
@@ -270,52 +294,34 @@ def _grouped(counted: DataFrame, groups: int) -> DataFrame:
             order = np.argsort(keys, kind="stable")
             keys, docs, texts, train = keys[order], docs[order], texts[order], train[order]
             starts = np.flatnonzero(np.concatenate(([len(keys) > 0], keys[1:] != keys[:-1])))
-            sizes = np.diff(np.append(starts, len(keys)))
             counts = np.add.reduceat(train, starts) if len(starts) else starts
-            each = np.repeat(counts, sizes)
-            order = np.lexsort((texts, docs))
-            docs, texts, each = docs[order], texts[order], each[order]
-            changed = (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1])
-            heads = np.flatnonzero(np.concatenate(([len(docs) > 0], changed)))
+            each = np.repeat(counts, np.diff(np.append(starts, len(keys))))
             seen = counts > 0
-            out.append((4, 0, 0, 0.0, int(counts.sum()), int(seen.sum()), b""))
-            out.append((5, bucket, 0, 0.0, 0, 0, _segment(keys[starts][seen], counts[seen], most_bits)))
-            rows = listed(out)
-            if len(heads):
-                rows = pa.concat_tables(
-                    [
-                        rows,
-                        columns(
-                            np.zeros(len(heads), np.int32),
-                            docs[heads],
-                            texts[heads],
-                            np.add.reduceat(np.log10(each + 1.0), heads),
-                            np.diff(np.append(heads, len(docs))),
-                            np.add.reduceat((each > 0).astype(np.int64), heads),
-                        ),
-                    ]
-                )
-            return rows
+            out.append((4, 0, int(counts.sum()), int(seen.sum()), b"", *NOTHING))
+            out.append((5, bucket, 0, 0, _segment(keys[starts][seen], counts[seen], most_bits), *NOTHING))
+            sums = _document_sums(docs, texts, np.log10(each + 1.0), np.ones_like(each), (each > 0).astype(np.int64))
+            # one packed row for each group of documents, however many documents there are
+            part = (mix(sums[0].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            sums, part = [column[order] for column in sums], part[order]
+            heads = np.flatnonzero(np.concatenate(([len(part) > 0], part[1:] != part[:-1])))
+            for i, j in zip(heads, [*heads[1:], len(part)]):
+                out.append((0, int(part[i]), 0, 0, b"", *(column[i:j].tobytes() for column in sums)))
+            return listed(out)
         one = ("words", np.uint64), ("counts", np.int64)
         words_, counts = _summed(*arrays(table, 1, *one))
         pairs, pair_counts = _summed(*arrays(table, 2, *one))
         firsts, first_counts = _summed(*arrays(table, 3, *one))
-        out.append((4, 0, 0, 0.0, int(counts.sum()), len(words_), b""))
+        out.append((4, 0, int(counts.sum()), len(words_), b"", *NOTHING))
         every = np.concatenate((words_, pairs)), np.concatenate((counts, pair_counts))
-        out.append((5, bucket, 0, 0.0, 0, 0, _segment(*every, most_bits)))
-        out += [(1, int(k), 0, 0.0, int(n), 0, b"") for k, n in zip(words_.view(np.int64), counts)]
-        out += [(3, int(k), 0, 0.0, int(n), 0, b"") for k, n in zip(firsts.view(np.int64), first_counts)]
+        out.append((5, bucket, 0, 0, _segment(*every, most_bits), *NOTHING))
+        out += [(1, int(k), int(n), 0, b"", *NOTHING) for k, n in zip(words_.view(np.int64), counts)]
+        out += [(3, int(k), int(n), 0, b"", *NOTHING) for k, n in zip(firsts.view(np.int64), first_counts)]
         return listed(out)
 
     def listed(rows: list[tuple]) -> pa.Table:
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
-        data = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-        return pa.Table.from_arrays(data, ["kind", "id", "text", "value", "n", "known", "bits"])
-
-    def columns(*found: np.ndarray) -> pa.Table:
-        empty = pa.array([b""] * len(found[0]), pa.binary())
-        data = [pa.array(c) for c in found]
-        return pa.Table.from_arrays([*data, empty], ["kind", "id", "text", "value", "n", "known", "bits"])
+        kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 6]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _SUMMED_NAMES)
 
     return counted.groupBy("bucket").applyInArrow(total, _SUMMED)
 
@@ -392,9 +398,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, id long, text int, n_tokens long, known long, n_rare long, base double, score double"
     scored = docs.mapInArrow(score, schema)
-    rare = sums.filter("kind = 0").groupBy("id", "text").agg(
-        F.sum("value").alias("_value"), F.sum("n").alias("_n"), F.sum("known").alias("_known")
-    )
+    rare = _rare_sums(sums)
     # rows that repeat a document share their sums: each takes its part
     part = F.coalesce(F.col("n_rare") / F.col("_n"), F.lit(0.0))
     value = F.coalesce(F.col("_value") * part, F.lit(0.0))
