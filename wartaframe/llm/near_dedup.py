@@ -7,18 +7,21 @@ tokens that the tree chooses, so similar sets share many paths and others part
 quickly. A node with few documents is compared exhaustively on its sketches; a
 larger one branches further. Candidates are confirmed on the full sets.
 
-With one coordinate chosen in three of four nodes and two in the fourth, a pair
-at the threshold 0.8 meets in a small node of one tree with a chance of 0.58 to
-0.84, so that TREES = 12 trees miss it with a chance below 4e-5. The sketch
-filter (256 coordinates, cut-off four standard deviations below the threshold)
-adds about 3e-5.
+The two upper levels of a tree are taken in one step. A node chooses one
+coordinate, every fourth two, so paths of similarity 0.8 neither die out nor
+multiply. A pair at the threshold follows one of the paths of the upper levels
+with a chance of 0.64; TREES = 12 trees with 21 paths miss it with a chance
+below 1e-6, and below 1e-3 where two more levels are needed. The sketch filter
+(two bits of 1024 minwise values, cut-off four standard deviations below the
+threshold) adds about 3e-5.
 
 Skew. Equal sets collapse to one representative with an aggregate first, so exact
 copies never meet. In a large node every document is compared with one pivot (a
 medoid of a sample), which ties a large group of near copies together in linear
-time; after that only documents of different components are compared, in blocks,
-so no two members of a settled group are paired again. Nothing is capped: nodes
-that stay large after DEPTH levels go through those blocks.
+time; after that only documents of different components are compared. Where few
+documents of a large node are outside its largest component, they are compared
+with all of it in blocks, otherwise the node branches. Nothing is capped: nodes
+that stay large after DEPTH levels go through the blocks, too.
 
 Defined results. Null, empty or wordless texts have no set: n_shingles 0, linked
 with nothing, kept. Rows with a null doc_id are counted but never linked, their
@@ -42,27 +45,36 @@ from wartaframe.session import checkpointed
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
 TREES = 12
-DEPTH = 4
+#: Paths whose large nodes are followed further. Of 21 paths a pair at the threshold shares 13;
+#: in large nodes, which are few and alike, 10 paths miss it with a chance of 4e-5.
+LARGE_PATHS = 10
+#: Levels below the two upper ones.
+DEPTH = 2
 #: Documents of a node that are compared exhaustively.
 SMALL_NODE = 256
 #: Members of a large node among which its pivot is chosen (expected number).
 PIVOT_SAMPLE = 64
 #: Members of one side of a block in which a large node's components are compared.
-BLOCK = 128
-COORDINATES = 256
-SKETCH_CUT = 0.70
-SURE = 0.90
+BLOCK = 256
+#: Documents outside the largest component of a node up to which it is not branched.
+FEW = 1024
+COORDINATES = 1024
+#: Coordinates that nodes below the upper levels choose from; their values are kept as bytes.
+BRANCHING = 64
+SKETCH_CUT = 0.74
+SURE = 0.88
 #: Rows up to which a list of ids is copied to all executors (16 bytes each).
 BROADCAST_IDS = 1_000_000
 
 _random = np.random.default_rng(20240101)
 _A = _random.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _random.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32)
-#: (tree, coordinate) of the roots' branches: one per tree, two for every fourth.
+#: (tree, coordinate, coordinate): paths through the two upper levels; every fourth node has two branches.
 _ROOTS = [
-    (tree, int(c))
+    (tree, int(upper), int(lower))
     for tree in range(TREES)
-    for c in _random.choice(COORDINATES, 2 if tree % 4 == 0 else 1, replace=False)
+    for place, upper in enumerate(_random.choice(COORDINATES, 2 if tree % 4 == 0 else 1, replace=False))
+    for lower in _random.choice(COORDINATES, 2 if (tree + place) % 4 == 1 else 1, replace=False)
 ]
 
 
@@ -77,6 +89,18 @@ def _sketch(row: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
+#: Number of two-bit fields of a byte that are zero.
+_ZERO_FIELDS = sum(((np.arange(256) >> shift) & 3 == 0) for shift in (0, 2, 4, 6)).astype(np.uint8)
+
+
+def _packed(values: np.ndarray) -> np.ndarray:
+    """Bytes of a sketch: two bits of every minwise value, then whole bytes for branching."""
+    fields = ((values >> np.uint32(3)) ^ (values >> np.uint32(17))).astype(np.uint8) & 3
+    fields = fields.reshape(len(values), -1, 4) << np.array([0, 2, 4, 6], np.uint8)
+    branch = ((values[:, :BRANCHING] >> np.uint32(5)) ^ (values[:, :BRANCHING] >> np.uint32(13))).astype(np.uint8)
+    return np.concatenate((np.bitwise_or.reduce(fields, axis=2), branch), axis=1)
+
+
 def _binary(matrix: np.ndarray) -> pa.Array:
     """One binary value per row of a byte matrix."""
     flat = np.ascontiguousarray(matrix)
@@ -108,8 +132,12 @@ def sketched(docs: DataFrame, shingle_words: int) -> DataFrame:
                 sketch = _sketch(row, value, len(piece))
                 keys = np.stack(
                     [
-                        mix(sketch[:, c].astype(np.uint64) + (np.uint64(tree * COORDINATES + c) << np.uint64(32)))
-                        for tree, c in _ROOTS
+                        mix(
+                            mix(sketch[:, upper].astype(np.uint64) + (np.uint64(tree * COORDINATES + upper) << np.uint64(32)))
+                            + sketch[:, lower].astype(np.uint64)
+                            + (np.uint64(lower) << np.uint64(32))
+                        )
+                        for tree, upper, lower in _ROOTS
                     ],
                     axis=1,
                 )
@@ -120,7 +148,7 @@ def sketched(docs: DataFrame, shingle_words: int) -> DataFrame:
                         _longs(sums[0]),
                         _longs(sums[1]),
                         _binary(keys.view(np.uint8).reshape(len(piece), -1)),
-                        _binary((sketch >> np.uint32(24)).astype(np.uint8) ^ (sketch & 255).astype(np.uint8)),
+                        _binary(_packed(sketch)),
                     ],
                     ["doc_id", "n_shingles", "fp_a", "fp_b", "branches", "sketch"],
                 )
@@ -130,17 +158,22 @@ def sketched(docs: DataFrame, shingle_words: int) -> DataFrame:
 
 
 def _root_rows(classes: DataFrame) -> DataFrame:
-    """(node, rep): one row per root branch of each representative."""
+    """(node, path, rep): one row per path of each representative through the upper levels."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep = batch.column("rep").to_numpy(zero_copy_only=False)
             node = np.frombuffer(b"".join(batch.column("branches").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node), pa.array(np.repeat(rep, len(_ROOTS)))], ["node", "rep"]
+                [
+                    pa.array(node),
+                    pa.array(np.tile(np.arange(len(_ROOTS), dtype=np.int32), len(rep))),
+                    pa.array(np.repeat(rep, len(_ROOTS))),
+                ],
+                ["node", "path", "rep"],
             )
 
-    return classes.select("rep", "branches").mapInArrow(rows, "node long, rep long")
+    return classes.select("rep", "branches").mapInArrow(rows, "node long, path int, rep long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -153,7 +186,8 @@ def _branched(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """Children of large nodes: the node itself chooses the coordinates."""
 
     def child(salt: int):
-        at = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(COORDINATES)).cast("int") + 1
+        at = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(BRANCHING)).cast("int")
+        at = at + COORDINATES // 4 + 1
         return F.xxhash64("node", at, F.substring("sketch", at, F.lit(1)))
 
     second = F.when(F.pmod(F.xxhash64("node", F.lit(0)), F.lit(4)) == 0, child(2))
@@ -165,12 +199,15 @@ def _branched(rows: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity from one-byte minwise values, corrected for chance equality."""
-    return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+    """Similarity from two-bit minwise values, corrected for chance equality."""
+    equal = _ZERO_FIELDS[a ^ b].sum(axis=1, dtype=np.int32) / COORDINATES
+    return (equal - 1 / 4) / (1 - 1 / 4)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    """The two-bit parts of sketches."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return rows[:, : COORDINATES // 4]
 
 
 def _pivot_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -181,8 +218,9 @@ def _pivot_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
 
     def medoid(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep").reset_index(drop=True)
-        bytes_ = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-        close = np.array([(bytes_ == one).mean() for one in bytes_])
+        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        sketches = sketches[:, : COORDINATES // 4]
+        close = np.array([_estimate(sketches, one).mean() for one in sketches])
         return group.iloc[[int(close.argmax())]][["node", "rep", "sketch"]]
 
     pivots = sample.groupBy("node").applyInPandas(medoid, "node long, rep long, sketch binary")
@@ -345,41 +383,30 @@ def near_duplicates(
     sketches = classes.select("rep", "sketch")
 
     nodes = checkpointed(_shared(_root_rows(classes)))
-    smalls, large = [], nodes
-    pivots = []
-    for level in range(1, DEPTH + 1):
-        smalls.append(large.filter(F.col("n") <= SMALL_NODE).select("node", "rep"))
-        large = large.filter(F.col("n") > SMALL_NODE)
-        if large.isEmpty():
-            break
-        pivots.append(_pivot_pairs(large, sketches).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        if level < DEPTH:
-            large = checkpointed(_shared(_branched(large, sketches)))
-    small = smalls[0]
-    for more in smalls[1:]:
-        small = small.union(more)
-    # trees often arrive at the same set of documents: one list stands for all of them
-    lists = small.groupBy("node").agg(F.array_sort(F.collect_list("rep")).alias("reps")).select("reps").distinct()
-    units = checkpointed(
-        lists.select(F.xxhash64("reps").alias("unit"), F.explode("reps").alias("rep")).distinct()
-    )
+    large = nodes.filter((F.col("n") > SMALL_NODE) & (F.col("path") < LARGE_PATHS))
+    units = checkpointed(_units(nodes.filter(F.col("n") <= SMALL_NODE)))
 
-    pairs = _unit_pairs(units, sketches, None)
-    for more in pivots:
-        pairs = pairs.union(more)
-    tested = _confirmed(checkpointed(_oriented(pairs)), docs, shingle_words, percent)
+    # first round: one link for each document is enough to tie components together
+    pivots = _pivot_pairs(large, sketches).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    pairs = checkpointed(_oriented(_unit_pairs(units, sketches, None).union(pivots)))
+    tested = _confirmed(pairs, docs, shingle_words, percent)
     labels = components(tested.filter("ok").select("a", "b"))
 
     # second round: whatever is still apart, exhaustively
-    def several(rows: DataFrame, key: str) -> DataFrame:
-        label = rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = label.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        return label.join(mixed.filter("lo < hi").select(key), key, "left_semi")
-
-    left = several(units, "unit").select("unit", "rep")
-    if pivots:
-        left = left.union(_blocks(several(large.select("node", "rep"), "node")))
-    pairs = _oriented(_unit_pairs(left, sketches, labels)).join(tested, ["a", "b"], "left_anti")
+    left = _mixed(units, "unit", labels).select("unit", "rep")
+    for level in range(1, DEPTH + 2):
+        if large.isEmpty():
+            break
+        large = checkpointed(_parted(_mixed(large.select("node", "rep"), "node", labels)))
+        settled = F.lit(True) if level > DEPTH else F.col("others") <= FEW
+        left = left.union(_blocks(large.filter(settled)))
+        rest = large.filter(~settled).select("node", "rep")
+        if rest.isEmpty():
+            break
+        shared = checkpointed(_shared(_branched(rest, sketches)))
+        left = left.union(_mixed(_units(shared.filter(F.col("n") <= SMALL_NODE)), "unit", labels).select("unit", "rep"))
+        large = shared.filter(F.col("n") > SMALL_NODE)
+    pairs = _oriented(_unit_pairs(left.distinct(), sketches, labels)).join(tested, ["a", "b"], "left_anti")
     pairs = checkpointed(pairs)
     if not pairs.isEmpty():
         more = _confirmed(pairs, docs, shingle_words, percent)
@@ -396,39 +423,60 @@ def near_duplicates(
     )
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of a large node in which all its pairs across components meet.
+def _units(small: DataFrame) -> DataFrame:
+    """(unit, rep): sets of documents that meet in small nodes, each of them once.
 
-    The largest component of the node is compared with the rest, and the rest with
-    itself, BLOCK against BLOCK members at a time.
+    Trees often arrive at the same set of documents: one list stands for all of them.
     """
+    lists = small.groupBy("node").agg(F.array_sort(F.collect_list("rep")).alias("reps")).select("reps").distinct()
+    return lists.select(F.xxhash64("reps").alias("unit"), F.explode("reps").alias("rep")).distinct()
+
+
+def _mixed(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """Rows whose unit or node holds more than one component, with their ``label``."""
+    rows = rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = rows.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return rows.join(mixed.filter("lo < hi").select(key), key, "left_semi")
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """Adds the largest component of each node, its size and the number of other documents."""
     size = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = size.groupBy("node").agg(
-        F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total")
-    )
+    main = size.groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"))
     main = main.select(
         "node",
         F.col("most.label").alias("main"),
-        F.ceil(F.col("most.n") / BLOCK).cast("int").alias("main_blocks"),
-        F.ceil((F.col("total") - F.col("most.n")) / BLOCK).cast("int").alias("rest_blocks"),
+        F.col("most.n").alias("most"),
+        (F.col("total") - F.col("most.n")).alias("others"),
     )
-    rows = rows.join(main, "node")
+    return rows.join(main, "node")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(unit, rep): blocks in which all pairs of a node across its components meet.
+
+    The largest component is compared with the others, and the others with
+    themselves, BLOCK against BLOCK documents at a time.
+    """
     is_main = F.col("label") == F.col("main")
-    own = F.pmod(
-        F.xxhash64("rep", F.lit(3)), F.when(is_main, F.col("main_blocks")).otherwise(F.col("rest_blocks"))
-    ).cast("int")
-    rest_keys = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda i: F.struct(i.alias("x"), F.col("own").alias("y"), F.lit(1).alias("k")))
-    main_keys = F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda i: F.struct(F.col("own").alias("x"), i.alias("y"), F.lit(1).alias("k")))
-    self_keys = F.transform(
-        F.sequence(F.lit(0), F.col("rest_blocks") - 1),
-        lambda i: F.struct(F.least(i, F.col("own")).alias("x"), F.greatest(i, F.col("own")).alias("y"), F.lit(2).alias("k")),
+    main_blocks = F.ceil(F.col("most") / BLOCK).cast("int")
+    other_blocks = F.ceil(F.col("others") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.when(is_main, main_blocks).otherwise(other_blocks)).cast("int")
+
+    def block(x, y, kind: int):
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(kind).alias("kind"))
+
+    mine = F.col("own")
+    with_others = F.transform(F.sequence(F.lit(0), other_blocks - 1), lambda i: block(mine, i, 1))
+    with_main = F.transform(F.sequence(F.lit(0), main_blocks - 1), lambda i: block(i, mine, 1))
+    among = F.transform(
+        F.sequence(F.lit(0), other_blocks - 1), lambda i: block(F.least(i, mine), F.greatest(i, mine), 2)
     )
-    keys = F.when(is_main, rest_keys).otherwise(F.concat(main_keys, self_keys))
+    keys = F.when(is_main, with_others).otherwise(F.concat(with_main, among))
     return (
         rows.withColumn("own", own)
         .select("node", "rep", F.explode(keys).alias("b"))
-        .select(F.xxhash64("node", "b.x", "b.y", "b.k").alias("unit"), "rep")
-        .distinct()
+        .select(F.xxhash64("node", "b.x", "b.y", "b.kind").alias("unit"), "rep")
     )
 
 
