@@ -344,6 +344,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: i
     return checkpointed(tested.select("a", "b", ok.alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok")))
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node that hangs on another hangs on one only, which hangs on none."""
+    ends = edges.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("u").alias("end"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")),
+                F.struct(F.col("v").alias("end"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")),
+            )
+        )
+    )
+    counts = ends.groupBy("end").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return counts.filter((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0))).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rep, label): smallest id reachable, for every id in a link.
 
@@ -351,8 +365,7 @@ def components(links: DataFrame) -> DataFrame:
     its smallest one; the rounds grow with the logarithm of the longest path.
     """
     edges = checkpointed(_oriented(links).select(F.col("b").alias("u"), F.col("a").alias("v")))
-    mark = None
-    while True:
+    while not _is_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         up = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -360,10 +373,6 @@ def components(links: DataFrame) -> DataFrame:
         least = up.groupBy("u").agg(F.min("v").alias("m"))
         down = up.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(down.union(least.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") / 2**20)).first()
-        if state == mark:
-            break
-        mark = state
     roots = edges.select(F.col("v").alias("u"), "v").distinct()
     return checkpointed(edges.union(roots).select(F.col("u").alias("rep"), F.col("v").alias("label")))
 
@@ -406,7 +415,7 @@ def near_duplicates(
         shared = checkpointed(_shared(_branched(rest, sketches)))
         left = left.union(_mixed(_units(shared.filter(F.col("n") <= SMALL_NODE)), "unit", labels).select("unit", "rep"))
         large = shared.filter(F.col("n") > SMALL_NODE)
-    pairs = _oriented(_unit_pairs(left.distinct(), sketches, labels)).join(tested, ["a", "b"], "left_anti")
+    pairs = _oriented(_unit_pairs(left, sketches, labels)).join(tested, ["a", "b"], "left_anti")
     pairs = checkpointed(pairs)
     if not pairs.isEmpty():
         more = _confirmed(pairs, docs, shingle_words, percent)
@@ -428,8 +437,8 @@ def _units(small: DataFrame) -> DataFrame:
 
     Trees often arrive at the same set of documents: one list stands for all of them.
     """
-    lists = small.groupBy("node").agg(F.array_sort(F.collect_list("rep")).alias("reps")).select("reps").distinct()
-    return lists.select(F.xxhash64("reps").alias("unit"), F.explode("reps").alias("rep")).distinct()
+    lists = small.groupBy("node").agg(F.array_sort(F.collect_set("rep")).alias("reps")).select("reps").distinct()
+    return lists.select(F.xxhash64("reps").alias("unit"), F.explode("reps").alias("rep"))
 
 
 def _mixed(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
