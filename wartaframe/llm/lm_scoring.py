@@ -1,22 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Counts of words and of pairs of frequent words, over all training texts, are
-quantised to powers of two; level j of an n-gram is one element of the filter, so
-a count is read back by probing levels until one is missing. The filter is made
-of segments: n-grams are dealt out by hash, each group of the shuffle counts its
-own exactly and writes its own segment, and only the finished segments (at most
-``FILTER_BYTES`` together) reach the driver and the workers. A corpus too large
-for that size gets fewer bits per n-gram, hence more overestimates, but loses none.
-
-The exact base score needs the exact count of every token. Words that make up
-HEAVY_SHARE of the tokens or more, 1 / HEAVY_SHARE at most, are copied to the
-workers with their counts. Each other word goes through the shuffle with its
-document, packed in arrays, and comes back as sums per document; such a word has
-less than 2 * HEAVY_SHARE of the tokens, so no group of the shuffle is hot.
-
-Model: p(w) = (c(w) + 1) / (N + V + 1) from probed counts, and after a frequent
-word v, p(w | v) = L * c(v, w) / c(v) + (1 - L * s(v)) * p(w), where s(v) is the
-share of frequent words after v and L = PAIR_WEIGHT.
+Counts of all words and of all pairs of neighbours (the end of a text is a word)
+over the training texts are quantised to powers of two; level j of an n-gram is one
+element of the filter, so a count is read back by probing levels until one is
+missing. The filter is made of segments with a fixed number of bits for each
+element, so it grows with what it holds: n-grams are dealt out by hash, about
+GROUP_TOKENS tokens a group, and each group of the shuffle counts its own exactly,
+writes its own segment and probes it for all texts that asked. No segment leaves
+its task; there is no word list and no upper size.
+
+Texts are taken in pieces of a few hundred documents. A piece asks each group once
+for its distinct n-grams, with their counts in the piece's training texts, so a
+frequent word or pair is one entry for each piece and no group is hot. The answers,
+exact counts of words and levels of all n-grams in the order of the question, meet
+the piece again, which sums them up for its documents.
+
+Model: p(w) = (c(w) + 1) / (N + V + 1) from probed counts, and after a word v of the
+training texts, p(w | v) = L * c(v, w) / c(v) + (1 - L) * p(w) with L = PAIR_WEIGHT;
+every v is followed by a word or the end, so this adds up like p(w). The base score
+takes the exact counts of single words.
 
 Defined results. A null text is empty: its only token is the end. A null doc_id
 counts as the empty text in the hash that holds documents out. Rows that repeat
@@ -32,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +42,22 @@ from wartaframe.llm.toxicity import remainder
 from wartaframe.llm.words import Words, mix, pieces, words
 from wartaframe.session import checkpointed
 
-#: Words with this share of the tokens are counted apart: 100,000 words at most.
-HEAVY_SHARE = 1e-5
-#: Words with this share (10,000 at most) are counted in pairs.
-FREQUENT_SHARE = 1e-4
-FILTER_BYTES = 64 << 20
 BITS_PER_ELEMENT = 8
 PROBES = 4
 #: Quantised counts end at 2^40.
 LEVELS = 41
 PAIR_WEIGHT = 0.5
-#: Tokens of the corpus for each group of the shuffle.
+#: Tokens of the corpus for each group of the shuffle, and the least number of groups.
 GROUP_TOKENS = 2_000_000
-#: Groups that take the heavy words and the pairs.
-PAIR_GROUPS = 8
+LEAST_GROUPS = 8
+#: Zstandard level of the packed texts.
+TEXT_LEVEL = 7
+#: Bytes of a pair's hash within its group.
+PAIR_BYTES = 5
 HELD_OUT = (7, 2)
 END = np.uint64(0x656E64)
-_COUNTED = "bucket int, kind int, words binary, docs binary, texts binary, counts binary"
-_SUMMED_NAMES = ["kind", "id", "n", "known", "bits", "docs", "texts", "logs", "counts", "knowns"]
-_SUMMED = "kind int, id long, n long, known long, " + ", ".join(f"{c} binary" for c in _SUMMED_NAMES[4:])
-NOTHING = (b"",) * 5
+_ASKED = "piece long, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
+_ANSWERED = "piece long, bucket int, n long, v long, exact binary, word_levels binary, pair_levels binary"
 
 
 def _training(doc_ids: pa.Array) -> np.ndarray:
@@ -67,92 +66,71 @@ def _training(doc_ids: pa.Array) -> np.ndarray:
     return ~np.array(held, bool)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[starts], np.add.reduceat(counts, starts)
+def _packed_pieces(docs: DataFrame) -> DataFrame:
+    """(piece, tokens, data): compressed runs of documents, the unit of questions and answers."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=TEXT_LEVEL))
+        for batch in batches:
+            for piece in pieces(batch):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema, options=options) as out:
+                    out.write_batch(piece)
+                w = words(piece.column("text"), lower=True)
+                data = [[number], [len(w.hashes) + w.texts], [sink.getvalue().to_pybytes()]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.int64(), pa.binary()))],
+                    ["piece", "tokens", "data"],
+                )
+                number += 1
 
-class Tally:
-    """Exact counts of keys, merged now and then so that repetitions don't pile up."""
+    return docs.select("doc_id", "text").mapInArrow(rows, "piece long, tokens long, data binary")
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.waiting = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.waiting += len(self.parts[-1][0])
-        if self.waiting > 1 << 21:
-            self.parts, self.waiting = [self.total()], 0
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return _summed(*(np.concatenate(column) for column in zip(*self.parts)))
 
+def _sequence(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token, the end of each text included, and its text."""
+    tokens = np.full(len(w.hashes) + w.texts, END, np.uint64)
+    tokens[np.arange(len(w.hashes)) + w.doc] = w.hashes
+    return tokens, np.repeat(np.arange(w.texts), w.counts + 1)
 
-def _frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes of heavy words, those of frequent words, and the number of tokens.
 
-    Each task names the words that are heavy in it. A word named nowhere has less
-    than HEAVY_SHARE of all tokens, and one whose named counts fall short of it
-    less than twice that share; which words are chosen only balances the load.
-    """
+def _pairs(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each token that follows another one of its text, and the key of the two."""
+    second = 1 + np.flatnonzero(doc[1:] == doc[:-1])
+    return second, mix(tokens[second - 1] * np.uint64(3) + tokens[second])
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, tokens = Tally(), 0
-        for batch in batches:
-            for piece in pieces(batch):
-                w = words(piece.column("text"), lower=True)
-                tally.add(w.hashes)
-                tokens += len(w.hashes) + w.texts
-        keys, counts = tally.total()
-        heavy = counts >= HEAVY_SHARE * tokens
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(keys[heavy].view(np.int64), 0)), pa.array(np.append(counts[heavy], tokens))],
-            ["word", "n"],
-        )
 
-    named = docs.select("doc_id", "text").mapInArrow(local, "word long, n long")
-    totals = checkpointed(named.groupBy("word").agg(F.sum("n").alias("n")))
-    tokens = totals.filter("word = 0").agg(F.sum("n")).first()[0] or 0
-    chosen = totals.filter((F.col("word") != 0) & (F.col("n") >= HEAVY_SHARE * tokens)).toPandas()
-    hashes = chosen["word"].to_numpy(np.int64).view(np.uint64)
-    heavy = np.sort(np.unique(np.append(hashes, END)))
-    frequent = np.sort(hashes[chosen["n"].to_numpy() >= FREQUENT_SHARE * tokens])
-    return heavy, frequent, int(tokens)
+def _dealt(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts keys of one group side by side, and the groups' bounds in it."""
+    bucket = keys % np.uint64(groups)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(groups + 1, dtype=np.uint64))
 
 
-def _index(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in a sorted table, -1 where it is missing."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+def _small(values: np.ndarray) -> bytes:
+    """Numbers in as many bytes each as the largest one needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
 
 
-def _text_hashes(w: Words) -> np.ndarray:
-    """32 bits of each text, to tell rows with one doc_id apart."""
-    return (w.span_hash(w.offsets[:-1], w.offsets[1:]) >> np.uint64(33)).astype(np.int32)
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}" if n else np.uint8).astype(np.int64)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    """doc_id as numbers; null becomes the smallest one."""
-    return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+def _pair_bytes(keys: np.ndarray, groups: int) -> bytes:
+    """What tells pairs of one group apart."""
+    rest = np.ascontiguousarray(keys // np.uint64(groups)).astype("<u8").view(np.uint8)
+    return rest.reshape(-1, 8)[:, :PAIR_BYTES].tobytes()
 
 
-def _pairs(w: Words, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word index of each second word of a pair of frequent words, and the pair's key."""
-    place = _index(frequent, w.hashes)
-    if len(place) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    second = 1 + np.flatnonzero((w.doc[1:] == w.doc[:-1]) & (place[1:] >= 0) & (place[:-1] >= 0))
-    return second, mix(w.hashes[second - 1] * np.uint64(3) + w.hashes[second])
+def _pair_keys(data: bytes) -> np.ndarray:
+    keys = np.zeros((len(data) // PAIR_BYTES, 8), np.uint8)
+    keys[:, :PAIR_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, PAIR_BYTES)
+    return keys.view("<u8").ravel().astype(np.uint64)
 
 
 def _elements(keys: np.ndarray, level: int | np.ndarray) -> np.ndarray:
@@ -164,10 +142,10 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, 0)
 
 
-def _segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> bytes:
-    """Bits of a filter segment that holds all levels of all keys."""
+def _segment(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> bytes:
+    """Bits of a filter segment that holds all levels of all keys; ``most_bits`` is for tests."""
     levels = _levels(counts)
-    bits = int(max(64, min(BITS_PER_ELEMENT * levels.sum(), most_bits))) // 8 * 8
+    bits = int(max(64, min(BITS_PER_ELEMENT * levels.sum(), most_bits or np.inf))) // 8 * 8
     out = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         element = _elements(keys[levels >= level], level)
@@ -178,12 +156,16 @@ def _segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> bytes:
 
 def joined(segments: dict[int, bytes], groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bits and first bit of each segment, and all segments in one array."""
-    parts = [segments.get(i, b"\0" * 8) for i in range(groups + PAIR_GROUPS)]
+    parts = [segments.get(i, b"\0" * 8) for i in range(groups)]
     sizes = np.array([len(p) for p in parts], np.int64)
     data = np.frombuffer(b"".join(parts), np.uint8)
     return (sizes * 8).astype(np.uint64), (np.cumsum(sizes) - sizes) * 8, data
 
 
+def _middle(levels: np.ndarray) -> np.ndarray:
+    return np.where(levels > 0, np.maximum(1, 0.75 * 2.0**levels), 0)
+
+
 @dataclass
 class CountFilter:
     """The finished filter: counts of n-grams by repeated membership probes."""
@@ -194,6 +176,10 @@ class CountFilter:
 
     def counts(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """Middle of the quantised count of each key; 0 where it was never seen."""
+        return _middle(self.levels(keys, segment))
+
+    def levels(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """Highest level of each key; 0 where it was never seen."""
         level = np.zeros(len(keys), np.int64)
         rows = np.arange(len(keys))
         for step in range(1, LEVELS + 1):
@@ -207,208 +193,143 @@ class CountFilter:
             if not len(rows):
                 break
             level[rows] = step
-        return np.where(level > 0, np.maximum(1, 0.75 * 2.0**level), 0)
+        return level
 
 
-def _counted(docs: DataFrame, heavy: np.ndarray, frequent: np.ndarray, groups: int) -> DataFrame:
-    """Packed rows for the shuffle: rare words with their documents, heavy words and pairs with counts."""
+def _asked(packed: DataFrame, groups: int) -> DataFrame:
+    """Distinct n-grams of each piece for each group, with their counts in the piece's training texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavies, pairs, firsts = Tally(), Tally(), Tally()
         for batch in batches:
-            for piece in pieces(batch):
-                w = words(piece.column("text"), lower=True)
-                train, ids, texts = _training(piece.column("doc_id")), _ids(piece.column("doc_id")), _text_hashes(w)
-                known = _index(heavy, w.hashes) >= 0
-                own = train[w.doc]
-                heavies.add(np.append(w.hashes[known & own], np.full(int(train.sum()), END)))
-                second, pair = _pairs(w, frequent)
-                pairs.add(pair[own[second]])
-                firsts.add(w.hashes[second - 1][own[second]])
-                rare = np.flatnonzero(~known)
-                bucket = (w.hashes[rare] % np.uint64(groups)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                rare, bucket = rare[order], bucket[order]
-                starts = np.flatnonzero(np.concatenate(([len(bucket) > 0], bucket[1:] != bucket[:-1])))
-                yield packed(
+            for number, data in zip(batch.column("piece").to_pylist(), batch.column("data").to_pylist()):
+                piece = _unpacked(data)
+                tokens, doc = _sequence(words(piece.column("text"), lower=True))
+                own = _training(piece.column("doc_id"))[doc]
+                second, pair = _pairs(tokens, doc)
+                columns: list[list[bytes]] = []
+                for keys, mine, pack in (
+                    (tokens, own, np.ndarray.tobytes),
+                    (pair, own[second], lambda k: _pair_bytes(k, groups)),
+                ):
+                    keys, inverse = np.unique(keys, return_inverse=True)
+                    counts = np.bincount(inverse[mine], minlength=len(keys))
+                    order, bounds = _dealt(keys, groups)
+                    parts = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+                    columns += [[pack(keys[p]) for p in parts], [_small(counts[p]) for p in parts]]
+                yield pa.RecordBatch.from_arrays(
                     [
-                        (int(bucket[a]), 0, w.hashes[r], ids[w.doc[r]], texts[w.doc[r]], train[w.doc[r]].astype(np.int64))
-                        for a, b in zip(starts, [*starts[1:], len(bucket)])
-                        for r in [rare[a:b]]
-                    ]
+                        pa.array([number] * groups, pa.int64()),
+                        pa.array(range(groups), pa.int32()),
+                        *[pa.array(c, pa.binary()) for c in columns],
+                    ],
+                    ["piece", "bucket", "words", "word_counts", "pairs", "pair_counts"],
                 )
-        for kind, tally in ((1, heavies), (2, pairs), (3, firsts)):
-            keys, counts = tally.total()
-            part = (keys % np.uint64(PAIR_GROUPS)).astype(np.int64)
-            none = np.zeros(0, np.int64)
-            yield packed(
-                [(groups + i, kind, keys[part == i], none, none, counts[part == i]) for i in range(PAIR_GROUPS)]
-            )
-
-    def packed(found: list[tuple]) -> pa.RecordBatch:
-        bucket, kind, *arrays = zip(*found) if found else [[]] * 6
-        columns = [pa.array(bucket, pa.int32()), pa.array(kind, pa.int32())]
-        columns += [pa.array([a.tobytes() for a in column], pa.binary()) for column in arrays]
-        return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "words", "docs", "texts", "counts"])
-
-    return docs.select("doc_id", "text").mapInArrow(rows, _COUNTED)
 
+    return packed.select("piece", "data").mapInArrow(rows, _ASKED)
 
-def _document_sums(docs: np.ndarray, texts: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct documents and the sums of their values."""
-    order = np.lexsort((texts, docs))
-    docs, texts = docs[order], texts[order]
-    changed = (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1])
-    heads = np.flatnonzero(np.concatenate(([len(docs) > 0], changed)))
-    sums = [np.add.reduceat(v[order], heads) if len(heads) else v for v in values]
-    return [docs[heads], texts[heads], *sums]
 
+def _answered(asked: DataFrame) -> DataFrame:
+    """Exact counts and probed levels for each question, and one row of totals (piece -1) a group."""
 
-def _rare_sums(sums: DataFrame) -> DataFrame:
-    """Sums over the rare words of each document, from the packed parts of all groups."""
+    def summed(keys: list[np.ndarray], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        each = np.concatenate([_numbers(c, len(k)) for k, c in zip(keys, counts)])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        return distinct, inverse, np.rint(np.bincount(inverse, each, len(distinct))).astype(np.int64)
 
-    def total(key: tuple, table: pa.Table) -> pa.Table:
-        kinds = (("docs", np.int64), ("texts", np.int32), ("logs", np.float64), ("counts", np.int64), ("knowns", np.int64))
-        found = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in kinds]
-        return pa.Table.from_arrays([pa.array(c) for c in _document_sums(*found)], ["id", "text", "_value", "_n", "_known"])
-
-    parts = sums.filter("kind = 0").select("id", "docs", "texts", "logs", "counts", "knowns")
-    return parts.groupBy("id").applyInArrow(total, "id long, text int, _value double, _n long, _known long")
-
-
-def _grouped(counted: DataFrame, groups: int) -> DataFrame:
-    """Sums per document, heavy counts, pair statistics and filter segments of each group."""
-    most_bits = FILTER_BYTES * 8 // (groups + PAIR_GROUPS)
-
-    def arrays(table: pa.Table, kind: int, *columns: tuple[str, type]) -> list[np.ndarray]:
-        rows = table.filter(pa.compute.equal(table.column("kind"), kind))
-        return [np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in columns]
+    def parts(values: np.ndarray, keys: list[np.ndarray]) -> list[bytes]:
+        return [_small(v) for v in np.split(values, np.cumsum([len(k) for k in keys])[:-1])]
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        keys, docs, texts, train = arrays(
-            table, 0, ("words", np.uint64), ("docs", np.int64), ("texts", np.int32), ("counts", np.int64)
+        asked = {name: table.column(name).to_pylist() for name in table.column_names}
+        words_ = [np.frombuffer(data, np.uint64) for data in asked["words"]]
+        pairs = [_pair_keys(data) for data in asked["pairs"]]
+        word, word_at, count = summed(words_, asked["word_counts"])
+        pair, pair_at, pair_count = summed(pairs, asked["pair_counts"])
+        every = np.concatenate((word, pair)), np.concatenate((count, pair_count))
+        seen = every[1] > 0
+        filled = CountFilter(*joined({0: _segment(every[0][seen], every[1][seen])}, 1))
+        levels = filled.levels(every[0], np.zeros(len(every[0]), np.int64))
+        rows = [
+            [*asked["piece"], -1],
+            [*asked["bucket"], key[0].as_py()],
+            [*[0] * len(words_), int(count.sum())],
+            [*[0] * len(words_), int((count > 0).sum())],
+            [*parts(count[word_at], words_), b""],
+            [*parts(levels[: len(word)][word_at], words_), b""],
+            [*parts(levels[len(word) :][pair_at], pairs), b""],
+        ]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays(
+            [pa.array(c, t) for c, t in zip(rows, kinds)],
+            ["piece", "bucket", "n", "v", "exact", "word_levels", "pair_levels"],
         )
-        out: list[tuple] = []
-        if bucket < groups:
-            order = np.argsort(keys, kind="stable")
-            keys, docs, texts, train = keys[order], docs[order], texts[order], train[order]
-            starts = np.flatnonzero(np.concatenate(([len(keys) > 0], keys[1:] != keys[:-1])))
-            counts = np.add.reduceat(train, starts) if len(starts) else starts
-            each = np.repeat(counts, np.diff(np.append(starts, len(keys))))
-            seen = counts > 0
-            out.append((4, 0, int(counts.sum()), int(seen.sum()), b"", *NOTHING))
-            out.append((5, bucket, 0, 0, _segment(keys[starts][seen], counts[seen], most_bits), *NOTHING))
-            sums = _document_sums(docs, texts, np.log10(each + 1.0), np.ones_like(each), (each > 0).astype(np.int64))
-            # one packed row for each group of documents, however many documents there are
-            part = (mix(sums[0].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            sums, part = [column[order] for column in sums], part[order]
-            heads = np.flatnonzero(np.concatenate(([len(part) > 0], part[1:] != part[:-1])))
-            for i, j in zip(heads, [*heads[1:], len(part)]):
-                out.append((0, int(part[i]), 0, 0, b"", *(column[i:j].tobytes() for column in sums)))
-            return listed(out)
-        one = ("words", np.uint64), ("counts", np.int64)
-        words_, counts = _summed(*arrays(table, 1, *one))
-        pairs, pair_counts = _summed(*arrays(table, 2, *one))
-        firsts, first_counts = _summed(*arrays(table, 3, *one))
-        out.append((4, 0, int(counts.sum()), len(words_), b"", *NOTHING))
-        every = np.concatenate((words_, pairs)), np.concatenate((counts, pair_counts))
-        out.append((5, bucket, 0, 0, _segment(*every, most_bits), *NOTHING))
-        out += [(1, int(k), int(n), 0, b"", *NOTHING) for k, n in zip(words_.view(np.int64), counts)]
-        out += [(3, int(k), int(n), 0, b"", *NOTHING) for k, n in zip(firsts.view(np.int64), first_counts)]
-        return listed(out)
-
-    def listed(rows: list[tuple]) -> pa.Table:
-        kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 6]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _SUMMED_NAMES)
-
-    return counted.groupBy("bucket").applyInArrow(total, _SUMMED)
+
+    return asked.groupBy("bucket").applyInArrow(total, _ANSWERED)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Base score and model score of each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heavy, frequent, tokens = _frequent_words(docs)
-    groups = max(PAIR_GROUPS, -(-tokens // GROUP_TOKENS))
-    sums = checkpointed(_grouped(_counted(docs, heavy, frequent, groups), groups))
-
-    totals = sums.filter("kind = 4").agg(F.sum("n"), F.sum("known")).first()
+    packed = checkpointed(_packed_pieces(docs))
+    tokens = packed.agg(F.sum("tokens")).first()[0] or 0
+    groups = max(LEAST_GROUPS, -(-tokens // GROUP_TOKENS))
+    answers = checkpointed(_answered(_asked(packed, groups)))
+    totals = answers.filter("piece = -1").agg(F.sum("n"), F.sum("v")).first()
     n_train, v_train = int(totals[0] or 0), int(totals[1] or 0)
     scale = n_train + v_train + 1
-    # bounded: 1 / HEAVY_SHARE heavy words, 1 / FREQUENT_SHARE first words, FILTER_BYTES of segments
-    exact = np.zeros(len(heavy), np.int64)
-    for row in sums.filter("kind = 1").select("id", "n").collect():
-        exact[np.searchsorted(heavy, np.array(row.id).view(np.uint64))] = row.n
-    followed = np.zeros(len(frequent), np.int64)
-    for row in sums.filter("kind = 3").select("id", "n").collect():
-        followed[np.searchsorted(frequent, np.array(row.id).view(np.uint64))] = row.n
-    segments = {r.id: bytes(r.bits) for r in sums.filter("kind = 5").select("id", "bits").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (heavy, exact, frequent, followed, joined(segments, groups))
-    )
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, exact, frequent, followed, segments = shared.value
-        counts = CountFilter(*segments)
-        end = int(np.searchsorted(heavy, END))
-        end_p = (exact[end] + 1) / scale
-        for batch in batches:
-            for piece in pieces(batch):
-                w = words(piece.column("text"), lower=True)
-                keys, inverse = np.unique(w.hashes, return_inverse=True)
-                place = _index(heavy, keys)
-                segment = np.where(
-                    place < 0,
-                    (keys % np.uint64(groups)).astype(np.int64),
-                    groups + (keys % np.uint64(PAIR_GROUPS)).astype(np.int64),
-                )
-                p = (counts.counts(keys, segment) + 1)[inverse] / scale
-                place = place[inverse]
-                second, pair = _pairs(w, frequent)
-                if len(second):
-                    pairs, at = np.unique(pair, return_inverse=True)
-                    both = counts.counts(pairs, groups + (pairs % np.uint64(PAIR_GROUPS)).astype(np.int64))[at]
-                first = _index(frequent, w.hashes)
-                once = np.maximum(1, exact[np.maximum(place, 0)])
-                after = np.flatnonzero((w.doc[1:] == w.doc[:-1]) & (first[:-1] >= 0)) + 1
-                share = np.minimum(1, followed[first[after - 1]] / once[after - 1])
-                likely = p.copy()
-                likely[after] = (1 - PAIR_WEIGHT * share) * p[after]
-                if len(second):
-                    likely[second] += PAIR_WEIGHT * np.minimum(both, once[second - 1]) / once[second - 1]
-                heavies = np.flatnonzero(place >= 0)
-                base = np.bincount(
-                    w.doc[heavies], np.log10(exact[place[heavies]] + 1.0), minlength=w.texts
-                )
-                known = np.bincount(w.doc[heavies], exact[place[heavies]] > 0, minlength=w.texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("doc_id").cast(pa.int64()),
-                        pa.array(_ids(piece.column("doc_id"))),
-                        pa.array(_text_hashes(w)),
-                        pa.array(w.counts + 1),
-                        pa.array(known.astype(np.int64) + int(exact[end] > 0)),
-                        pa.array(w.counts - np.bincount(w.doc[heavies], minlength=w.texts)),
-                        pa.array(base + np.log10(exact[end] + 1.0)),
-                        pa.array(np.bincount(w.doc, np.log10(likely), minlength=w.texts) + np.log10(end_p)),
-                    ],
-                    ["doc_id", "id", "text", "n_tokens", "known", "n_rare", "base", "score"],
-                )
+    def score(question: pa.Table, answer: pa.Table) -> pa.Table:
+        answer = answer.sort_by("bucket").to_pydict()
+        piece = _unpacked(question.column("data")[0].as_py())
+        w = words(piece.column("text"), lower=True)
+        tokens, doc = _sequence(w)
+        second, pair = _pairs(tokens, doc)
+
+        def found(keys: np.ndarray, *names: str) -> list[np.ndarray]:
+            """Answers for each key, from the rows of all groups."""
+            keys, inverse = np.unique(keys, return_inverse=True)
+            order, bounds = _dealt(keys, groups)
+            out = []
+            for name in names:
+                value = np.empty(len(keys), np.int64)
+                value[order] = np.concatenate([_numbers(d, n) for d, n in zip(answer[name], np.diff(bounds))])
+                out.append(value[inverse])
+            return out
+
+        exact, level = found(tokens, "exact", "word_levels")
+        (pair_level,) = found(pair, "pair_levels")
+        likely = np.minimum(1, (_middle(level) + 1) / scale)
+        first = exact[second - 1]
+        known = first > 0
+        after, once = second[known], first[known]
+        both = np.minimum(_middle(pair_level[known]), once)
+        likely[after] = PAIR_WEIGHT * both / once + (1 - PAIR_WEIGHT) * likely[after]
+        sums = [np.bincount(doc, v, w.texts) for v in (exact > 0, np.log10(exact + 1.0), np.log10(likely))]
+        n_tokens = w.counts + 1
+        return pa.Table.from_arrays(
+            [
+                piece.column("doc_id").cast(pa.int64()),
+                pa.array(n_tokens.astype(np.int64)),
+                pa.array(np.rint(sums[0]).astype(np.int64)),
+                pa.array(sums[1] - n_tokens * np.log10(scale)),
+                pa.array(sums[2]),
+            ],
+            ["doc_id", "n_tokens", "n_known", "base_score", "score"],
+        )
 
-    schema = "doc_id long, id long, text int, n_tokens long, known long, n_rare long, base double, score double"
-    scored = docs.mapInArrow(score, schema)
-    rare = _rare_sums(sums)
-    # rows that repeat a document share their sums: each takes its part
-    part = F.coalesce(F.col("n_rare") / F.col("_n"), F.lit(0.0))
-    value = F.coalesce(F.col("_value") * part, F.lit(0.0))
+    scored = (
+        packed.select("piece", "data")
+        .groupBy("piece")
+        .cogroup(answers.filter("piece >= 0").groupBy("piece"))
+        .applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    )
     n, out = HELD_OUT
-    return scored.join(rare, ["id", "text"], "left").select(
+    return scored.select(
         "doc_id",
         (remainder("doc_id", n) == out).alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.round(F.coalesce(F.col("_known"), F.lit(0)) * part).cast("long")).alias("n_known"),
+        "n_known",
         F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + value - F.col("n_tokens") * float(np.log10(scale))).alias("base_score"),
+        "base_score",
         "score",
     )
