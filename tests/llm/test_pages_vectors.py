@@ -122,3 +122,35 @@ def test_few_or_no_vectors(spark):
     assert sorted((r.query_id, r.rank) for r in got) == [(0, 1), (0, 2), (0, 3)]
     assert ann.nearest(spark.createDataFrame([], VECTORS), ann.standard_queries()).count() == 0
     assert ann.nearest(spark.createDataFrame(vectors(1), VECTORS), ann.standard_queries()).count() == 0
+
+
+def test_copies_of_a_page_have_one_vote(spark):
+    rng = random.Random(5)
+
+    def article(i):
+        parts = [" ".join(f"w{rng.randrange(999)}" for _ in range(9)) for _ in range(3)]
+        html = f"<article><h1>Title {i}</h1><div><p>{parts[0]}</p></div><section><p>{parts[1]}</p></section><p>{parts[2]}</p></article>"
+        return html, "\n".join([f"Title {i}", *parts])
+
+    ten, ten_text = article(0)
+    rows = [(i, f"http://ten.example/{i}", f"<body>{ten}</body>") for i in range(10)]
+    want = {i: ten_text for i in range(10)}
+    # half of a host's pages copy one article under many urls, each with its own menu; the box is template
+    box = "<div><div>All our sections</div></div>"
+    for i in range(20, 40):
+        html, text = (ten, ten_text) if i % 2 else article(i)
+        rows.append((i, f"http://half.example/{i}", f"<body><nav>menu {i}</nav>{box}{html}</body>"))
+        want[i] = text
+    # null urls share a host; the first row is landed again and again
+    rows += [(50, None, f"<body>{ten}</body>")] * 6
+    want[50] = ten_text
+    # without an article, the paragraphs of a repeated page stay
+    rows += [(60 + i, f"http://plain.example/{i}", "<p>one</p><div>two</div>") for i in range(8)]
+    want |= {60 + i: "one\ntwo" for i in range(8)}
+    for broadcast in (10**6, 0):
+        got = html_text.main_text(spark.createDataFrame(rows, PAGES), broadcast).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.text == want[r.page_id]
+    found = html_text.recurring(spark.createDataFrame(rows, PAGES)).collect()
+    assert {r.site for r in found} == {html_text._site("half.example")}

@@ -2,7 +2,7 @@
 
 Every element subtree of a page is hashed (tag, class, text and children). Spark
 counts on how many pages of a host each subtree stands; subtrees that recur
-across many pages of the host are its template and are deleted, along with
+across many different pages of the host are its template and are deleted, along with
 elements that are no article text by their meaning: menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments. What is
 left of the page's article (its <article>, else <main>, else the body) is given
@@ -12,13 +12,16 @@ Recurring containers are deleted from TEMPLATE_SHARE of the host's pages on.
 Paragraphs and headings inside an article may quote what other articles quote,
 so they go only when practically every page has them (QUOTE_SHARE).
 
-The counts go through one shuffle of hashes. The templates found (a subtree on
+Copies of a page have one vote: pages of a host count as one, in the subtree's count
+and in the host's total, when their articles read the same before templates go.
+
+The counts go through a shuffle of hashes. The templates found (a subtree on
 half of a host's pages: few per host) are copied to the tasks when they are at
 most BROADCAST_TEMPLATES, else each page is joined with the templates it holds.
 
 Defined results. A null or empty html gives an empty text. Pages without a host
-(null url) share one. Rows that repeat are pages of their own; a null page_id is
-kept. Malformed markup is read as far as it makes sense: unknown end tags are
+(null url) share one. Rows that repeat are rows of their own in the result and one
+page in the counts; a null page_id is kept. Malformed markup is read as far as it makes sense: unknown end tags are
 ignored, unclosed elements end with their parent. Extra columns are ignored.
 """
 
@@ -251,21 +254,29 @@ def _site(host: str) -> int:
     return xxhash.xxh64_intdigest(host) >> 1
 
 
+def _content(root: Element) -> int:
+    """Hash of the article's text, which copies of a page share."""
+    return xxhash.xxh64_intdigest(text_of(root, set())) >> 1
+
+
 def recurring(pages: DataFrame) -> DataFrame:
-    """(site, digest): subtrees that recur across many pages of their host."""
+    """(site, digest): subtrees that recur across many different pages of their host."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "html"):
-                found: list[tuple[int, int, bool]] = []
+                found: list[tuple[int, int, int, bool]] = []
                 for url, page in zip(piece.column("url").to_pylist(), piece.column("html").to_pylist()):
-                    site = _site(host_of(url))
-                    found.append((site, -1, False))
-                    found += [(site, d, quote) for d, quote in subtrees(parse(page or "")).items()]
-                columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays(columns, ["site", "digest", "quote"])
-
-    seen = pages.select("url", "html").mapInArrow(rows, "site long, digest long, quote boolean")
+                    site, root = _site(host_of(url)), parse(page or "")
+                    content = _content(root)
+                    found.append((site, -1, content, False))
+                    found += [(site, d, content, quote) for d, quote in subtrees(root).items()]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                columns = [pa.array(c, t) for c, t in zip(zip(*found), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["site", "digest", "content", "quote"])
+
+    seen = pages.select("url", "html").mapInArrow(rows, "site long, digest long, content long, quote boolean")
+    seen = seen.groupBy("site", "digest", "content").agg(F.max("quote").alias("quote"))
     counts = seen.groupBy("site", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("quote").alias("quote"))
     counts = checkpointed(counts.filter(F.col("n") >= TEMPLATE_PAGES))
     totals = counts.filter("digest = -1").select("site", F.col("n").alias("total"))
