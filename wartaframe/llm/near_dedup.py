@@ -10,8 +10,10 @@ larger one branches further. Candidates are confirmed on the full sets.
 The two upper levels of a tree are taken in one step. A node chooses one
 coordinate, every fourth two, so paths of similarity 0.8 neither die out nor
 multiply. A pair at the threshold follows one of the paths of the upper levels
-with a chance of 0.64; TREES = 12 trees with 21 paths miss it with a chance
-below 1e-6, and below 1e-3 where two more levels are needed. The sketch filter
+with a chance of 0.64; a tree with one path misses it with a chance of 0.36, with
+two 0.23, with three 0.084. TREES = 12 trees with 21 paths together miss it with a chance
+of 1.6e-8, 5.3e-7 where all common nodes branch once more and 5.5e-6 where they
+branch twice; large nodes are followed on all of them. The sketch filter
 (two bits of 1024 minwise values, cut-off four standard deviations below the
 threshold) adds about 3e-5.
 
@@ -45,8 +47,8 @@ from wartaframe.session import checkpointed
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
 TREES = 12
-#: Paths whose large nodes are followed further. Of 21 paths a pair at the threshold shares 13;
-#: in large nodes, which are few and alike, 10 paths miss it with a chance of 4e-5.
+#: Paths whose large nodes have a pivot in the first round. It only ties components together
+#: early; the second round follows the large nodes of all paths that still hold several.
 LARGE_PATHS = 10
 #: Levels below the two upper ones.
 DEPTH = 2
@@ -392,11 +394,12 @@ def near_duplicates(
     sketches = classes.select("rep", "sketch")
 
     nodes = checkpointed(_shared(_root_rows(classes)))
-    large = nodes.filter((F.col("n") > SMALL_NODE) & (F.col("path") < LARGE_PATHS))
+    large = nodes.filter(F.col("n") > SMALL_NODE)
     units = checkpointed(_units(nodes.filter(F.col("n") <= SMALL_NODE)))
 
     # first round: one link for each document is enough to tie components together
-    pivots = _pivot_pairs(large, sketches).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    tied = large.filter(F.col("path") < LARGE_PATHS)
+    pivots = _pivot_pairs(tied, sketches).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     pairs = checkpointed(_oriented(_unit_pairs(units, sketches, None).union(pivots)))
     tested = _confirmed(pairs, docs, shingle_words, percent)
     labels = components(tested.filter("ok").select("a", "b"))
