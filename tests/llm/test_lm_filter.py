@@ -55,3 +55,21 @@ def test_scores_stay_near_exact_counts_with_many_groups(spark, monkeypatch):
     assert got.keys() == want.keys()
     off = sum(abs(got[i] - want[i]) for i in want) / sum(abs(x) for x in want.values())
     assert off < 0.02
+
+
+def test_pairs_of_rare_words_count_and_held_out_texts_do_not(spark):
+    """A phrase of words below any share of the corpus, in training texts and in a held-out one."""
+    train = [i for i in range(600) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(600) if i not in train]
+    rng = random.Random(13)
+    rows = {i: " ".join(f"w{rng.randrange(400)}" for _ in range(100)) for i in train[:300] + held[:60]}
+    for i in train[:3]:
+        rows[i] += " rarest phrase of all"
+    rows[held[0]], rows[held[1]] = "rarest phrase of all", "all of phrase rarest"
+    for i in held[2:60]:
+        rows[i] += " only held out" * 20
+    rows = [(i, text, "a") for i, text in rows.items()]
+    want = plain_scores(rows)
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs(spark, rows).repartition(3)).collect()}
+    assert got[held[0]] > got[held[1]] + 3
+    assert all(abs(got[i] - want[i]) < 0.03 * abs(want[i]) for i in want)
