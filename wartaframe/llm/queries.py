@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wartaframe.llm import (
-    ann, bpe, html_text, licenses, lm_scoring, mixing, near_dedup, quality_rules, token_counts, toxicity,
+    ann, bpe, hard_negatives, html_text, importance, licenses, lm_scoring, mixing, near_dedup, quality_rules,
+    substring_dedup, token_counts, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +90,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op11_importance_resampling", importance.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_hard_negatives", hard_negatives.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of every seventh id is moved on first, as the query's contract says."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hard_negatives.hard_negatives(vectors, hard_negatives.standard_anchors(), hard_negatives.shifted_label())
+
+
+@query("op13_substring_dedup", substring_dedup.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
