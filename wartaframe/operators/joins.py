@@ -22,17 +22,19 @@ def fits_broadcast(small: DataFrame) -> bool:
 
 
 def join_statistics(
-    rows: DataFrame, stats: DataFrame, key: str, count: str, how: str = "inner"
+    rows: DataFrame, stats: DataFrame, key: str, count: str, how: str = "inner", copy_small: bool = True
 ) -> DataFrame:
     """Join rows to one aggregated line per key, in one pass over the rows.
 
+    A table found small is broadcast, unless ``copy_small`` asks for one plan at all sizes.
+
     ``stats`` is unique in ``key`` and counts the rows of each key in ``count``.
     The HOT_KEYS most frequent keys are broadcast (that many lines at most), so
     each key left for the shuffle join holds at most 1/HOT_KEYS of the rows.
     Rows already answered by the broadcast are spread evenly over the shuffle.
     """
     payload = [c for c in stats.columns if c != key]
-    if fits_broadcast(stats):
+    if copy_small and fits_broadcast(stats):
         return rows.join(F.broadcast(stats), key, how)
     hot = stats.orderBy(F.desc(count), key).limit(HOT_KEYS)
     hot = hot.select(F.col(key), F.struct(*payload).alias("_hot"))
