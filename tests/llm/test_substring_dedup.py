@@ -68,6 +68,9 @@ def test_shared_passages(spark, monkeypatch, hot):
     rng = random.Random(11)
     rows = passages(rng, 60)
     rows += [(500 + k, rows[5][1] + " end" * (k % 3), "b") for k in range(12)]
+    short = sentence(rng, 44)
+    rows += [(0, short, "a"), (600, short, "b"), (601, short + " five more words stand here", "b"), (602, short, "b")]
+    rows += [(603, short + " five more words stand here and there and there", "b"), (604, short + " five more words stand here and there", "b")]
     rng.shuffle(rows)
     assert found(docs(spark, rows)) == brute(rows)
 

@@ -8,8 +8,8 @@ two places of one window there is a shift below PERIOD at which both have an
 anchor, and the anchors are equal. So a window can only recur where an anchor
 does.
 
-1. Equal word sequences are settled first: all but the smallest doc_id lose every
-   window and take no further part.
+1. Equal texts are settled first: all but the smallest doc_id lose every window
+   and take no further part.
 2. Anchors (six in 31 words) are aggregated to the smallest and largest doc_id
    that holds them. Those with two different ids are shared.
 3. Around shared anchors the match is extended: the windows that contain one are
@@ -38,42 +38,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wartaframe.llm.words import Words, mix, pieces, powers, words
-from wartaframe.operators.joins import fits_broadcast, join_statistics
+from wartaframe.operators.joins import join_statistics
 from wartaframe.session import checkpointed
 
 WINDOW = 50
 PERIOD = 31
 #: Every difference modulo 31 occurs exactly once among these.
 COVER = (1, 5, 11, 24, 25, 27)
-_SPACES = r"[ \t-\r]+"
+#: Documents up to which a list of them is copied to all executors instead of moving the texts.
+BROADCAST_DOCUMENTS = 1_000
 _KEY = ["doc_id", "version"]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text with its words joined by one space, n_words and a hash of the text."""
-    text = F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), _SPACES, " "))
-    spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id",
-        "text",
-        F.when(F.col("text") == "", 0).otherwise(spaces + 1).cast("long").alias("n_words"),
-        F.xxhash64("text").alias("version"),
-    )
+    """doc_id, text and a hash of the text that tells rows of one id apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("version", F.xxhash64("text"))
 
 
-def _measured(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if fits_broadcast(keys) else keys
+def _measured(listed: DataFrame) -> DataFrame:
+    """The list, broadcast where it was counted and found short, else merged."""
+    short = listed.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
+    return F.broadcast(listed) if short else listed.hint("merge")
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """Keys of rows whose whole word sequence a smaller doc_id has."""
+    """Keys of rows whose text a smaller doc_id has."""
     seen = checkpointed(rows.select(*_KEY, F.xxhash64(F.lit(1), "text").alias("other")))
-    seen = seen.select(*_KEY, F.concat_ws(" ", "version", "other").alias("sequence"))
-    groups = seen.groupBy("sequence").agg(
+    seen = seen.select(*_KEY, F.struct("version", "other").alias("content"))
+    groups = seen.groupBy("content").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")
     )
-    groups = checkpointed(groups.filter("least < most").select("sequence", "least", "n"))
-    copies = join_statistics(seen, groups, "sequence", "n").filter("doc_id > least")
+    groups = checkpointed(groups.filter("least < most").select("content", "least", "n"))
+    copies = join_statistics(seen, groups, "content", "n").filter("doc_id > least")
     return checkpointed(copies.select(*_KEY).distinct())
 
 
@@ -81,8 +78,8 @@ def _at(column: np.ndarray) -> pa.Array:
     return pa.array(column.astype(np.int32))
 
 
-def _anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, doc_id, version, at): a hash of the words at each cover position."""
+def _anchors(texts: DataFrame, window: int, length: int) -> DataFrame:
+    """(anchor, doc_id, at): a hash of the words at each cover position."""
     wanted = np.isin(np.arange(PERIOD), COVER)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,20 +88,19 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
                 w = words(piece.column("text"))
                 start = w.windows(length)
                 place = start - w.first[w.doc[start]]
-                kept = wanted[place % PERIOD]
+                kept = wanted[place % PERIOD] & (w.counts[w.doc[start]] >= window)
                 start, place = start[kept], place[kept]
                 row = pa.array(w.doc[start])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(w.window_hash(start, length).view(np.int64)),
                         piece.column("doc_id").take(row),
-                        piece.column("version").take(row),
                         _at(place),
                     ],
-                    ["anchor", *_KEY, "at"],
+                    ["anchor", "doc_id", "at"],
                 )
 
-    return texts.select(*_KEY, "text").mapInArrow(rows, "anchor long, doc_id long, version long, at int")
+    return texts.select("doc_id", "text").mapInArrow(rows, "anchor long, doc_id long, at int")
 
 
 def _window_hashes(w: Words, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +131,8 @@ def _windows(candidates: DataFrame, window: int, length: int) -> DataFrame:
             for piece in pieces(batch):
                 w = words(piece.column("text"))
                 row, at = _flat(piece.column("anchors"))
+                fits = (at < w.counts[row]) & (w.counts[row] >= window)
+                row, at = row[fits], at[fits]
                 ends = w.first[row] + np.minimum(at, w.counts[row] - window) + 1
                 begins = np.minimum(w.first[row] + np.maximum(at - (window - length), 0), ends)
                 start = np.flatnonzero(_marks(len(w.doc), begins, ends))
@@ -158,14 +156,15 @@ def _windows(candidates: DataFrame, window: int, length: int) -> DataFrame:
 def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     """doc_id, version and ``starts``: windows of a document that also start in one with a smaller id."""
     length = window - PERIOD + 1
-    anchors = _anchors(rows, length)
+    anchors = _anchors(rows, window, length)
     shared = anchors.groupBy("anchor").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")
     )
     shared = checkpointed(shared.filter("least < most").select("anchor", "n"))
-    places = join_statistics(anchors, shared, "anchor", "n").groupBy(*_KEY).agg(F.collect_list("at").alias("anchors"))
+    # rows of one id get each other's places, too: more windows to look at, no other result
+    places = join_statistics(anchors, shared, "anchor", "n", copy_small=False).groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
     places = checkpointed(places)
-    candidates = checkpointed(rows.select(*_KEY, "text").join(_measured(places), _KEY))
+    candidates = checkpointed(rows.select(*_KEY, "text").join(_measured(places), "doc_id"))
 
     found = _windows(candidates, window, length)
     holders = found.groupBy("high", "low").agg(
@@ -173,44 +172,48 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     )
     key = F.struct("high", "low").alias("window")
     holders = checkpointed(holders.filter("least < most").select(key, "least", "n"))
-    gone = join_statistics(found.select(key, *_KEY, "at"), holders, "window", "n").filter("doc_id > least")
+    gone = join_statistics(found.select(key, *_KEY, "at"), holders, "window", "n", copy_small=False).filter("doc_id > least")
     return checkpointed(gone.groupBy(*_KEY).agg(F.collect_list("at").alias("starts")))
 
 
+def _joined(w: Words, kept: np.ndarray) -> pa.Array:
+    """The kept words of each text, joined by one space."""
+    begins, sizes, doc = w.starts[kept], (w.ends - w.starts)[kept], w.doc[kept]
+    # a space after each word but the last of a text
+    spaced = np.concatenate((doc[1:] == doc[:-1], [False])) if len(doc) else np.zeros(0, bool)
+    sizes = sizes + spaced
+    ends = np.cumsum(sizes)
+    source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
+    data = w.data[np.minimum(source, max(len(w.data) - 1, 0))]
+    data[ends[spaced] - 1] = 32
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, sizes, w.texts).astype(np.int64))))
+    return pa.Array.from_buffers(pa.large_string(), w.texts, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def _kept(rows: DataFrame, window: int) -> DataFrame:
-    """Texts without the words of repeated windows; ``whole`` texts go altogether."""
+    """Texts without the words of repeated windows; ``whole`` texts have nothing but such."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                whole = piece.column("whole").fill_null(False).to_numpy(zero_copy_only=False)
+                w = words(piece.column("text"))
+                whole = piece.column("whole").fill_null(False).to_numpy(zero_copy_only=False) & (w.counts >= window)
                 row, at = _flat(piece.column("starts"))
-                out = piece.column("text").to_pylist()
-                removed = np.where(whole, piece.column("n_words").to_numpy(), 0)
-                changed = np.flatnonzero(np.bincount(row, minlength=len(out)) > 0)
-                if len(changed):
-                    w = words(piece.column("text").take(pa.array(changed)))
-                    begins = w.first[np.searchsorted(changed, row)] + at
-                    gone = _marks(len(w.doc), begins, begins + window)
-                    for k, i in enumerate(changed):
-                        own = np.flatnonzero(~gone[w.first[k] : w.first[k] + w.counts[k]]) + w.first[k]
-                        # runs of kept words are cut out as they stand
-                        breaks = np.flatnonzero(np.diff(own) > 1)
-                        heads = own[np.concatenate(([0], breaks + 1))] if len(own) else own
-                        tails = own[np.concatenate((breaks, [len(own) - 1]))] if len(own) else own
-                        data = w.data
-                        parts = [data[w.starts[h] : w.ends[t]].tobytes() for h, t in zip(heads, tails)]
-                        out[i] = b" ".join(parts).decode()
-                        removed[i] = w.counts[k] - len(own)
-                for i in np.flatnonzero(whole):
-                    out[i] = ""
+                begins = w.first[row] + at
+                kept = ~(_marks(len(w.doc), begins, begins + window) | whole[w.doc])
+                left = np.bincount(w.doc[kept], minlength=w.texts)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("n_words"), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
+                    [
+                        piece.column("doc_id"),
+                        pa.array(w.counts.astype(np.int64)),
+                        pa.array((w.counts - left).astype(np.int64)),
+                        _joined(w, kept).cast(pa.string()),
+                    ],
                     ["doc_id", "n_words", "n_removed", "kept_text"],
                 )
 
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
-    return rows.select("doc_id", "n_words", "text", "starts", "whole").mapInArrow(texts, schema)
+    return rows.select("doc_id", "text", "starts", "whole").mapInArrow(texts, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -218,16 +221,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < PERIOD:
         raise ValueError(f"windows have {PERIOD} words or more")
     rows = _rows(docs)
-    long = (F.col("n_words") >= window) & F.col("doc_id").isNotNull()
+    # so many words have at least so many bytes
+    long = F.coalesce((F.octet_length("text") >= 2 * window - 1) & F.col("doc_id").isNotNull(), F.lit(False))
     full = rows.filter(long)
     copies = _copies(full)
     gone = repeated_windows(full.join(_measured(copies), _KEY, "left_anti"), window)
     gone = gone.select(*_KEY, "starts", F.lit(False).alias("whole")).union(
         copies.select(*_KEY, F.lit(None).cast("array<int>"), F.lit(True))
     )
-    rest = rows.filter(~F.coalesce(long, F.lit(False)))
-    rest = rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept_text"))
-    return _kept(full.join(_measured(gone), _KEY, "left"), window).union(rest)
+    rest = rows.filter(~long).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("whole"))
+    return _kept(full.join(_measured(gone), _KEY, "left"), window).union(_kept(rest, window))
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
