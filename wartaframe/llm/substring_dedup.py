@@ -8,28 +8,28 @@ two places of one window there is a shift below PERIOD at which both have an
 anchor, and the anchors are equal. So a window can only recur where an anchor
 does.
 
-1. Equal texts are settled first: all but the smallest doc_id lose every window
-   and take no further part.
-2. Anchors (six in 31 words) are aggregated to the smallest and largest doc_id
-   that holds them. Those with two different ids are shared.
-3. Around shared anchors the match is extended: the windows that contain one are
-   hashed (96 bits), aggregated to the smallest doc_id that holds them, and go
-   where a larger doc_id holds them.
-
-Skew. Both aggregates combine before they shuffle and no pair of documents is
-ever written, so a passage of a third of all documents costs rows in proportion
-to those documents. The joins back to the rows broadcast the most frequent keys.
+1. Anchors (six in 31 words) held by two documents are shared.
+2. Around shared anchors the match is extended: the windows that contain one are
+   hashed (96 bits), and go where a smaller doc_id holds them, too.
+
+Skew and scale. No pair of documents is ever written. Anchors and windows are
+shuffled once, sorted and read as a stream, which keeps one line of a group in
+mind, not the group. A batch of documents settles what its own documents share
+before that and sends one of them on, so a passage of a third of all documents
+reaches the shuffle once per batch. Texts move once, to the places of their shared
+anchors; what is left of a text is cut only where it loses words.
 
 Defined results. A null, empty or wordless text has no words and an empty kept
 text. Rows with a null doc_id have no place in the order: they lose nothing and
 take nothing from others. Rows that repeat a doc_id do not take from each other,
-whatever their texts. Kept words are joined by one space, also in documents that
-lose nothing. Extra columns are ignored. Hashes stand for words and windows: the
+whatever their texts. Words that are left are joined by one space; a text that
+loses nothing stays as it is. Extra columns are ignored. Hashes stand for words and windows: the
 chance of any wrong match is about 1e-3 in 10^13 windows that share an anchor.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +38,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wartaframe.llm.words import Words, mix, pieces, powers, words
-from wartaframe.operators.joins import join_statistics
 from wartaframe.session import checkpointed
 
 WINDOW = 50
@@ -62,45 +61,78 @@ def _measured(listed: DataFrame) -> DataFrame:
     return F.broadcast(listed) if short else listed.hint("merge")
 
 
-def _copies(rows: DataFrame) -> DataFrame:
-    """Keys of rows whose text a smaller doc_id has."""
-    seen = checkpointed(rows.select(*_KEY, F.xxhash64(F.lit(1), "text").alias("other")))
-    seen = seen.select(*_KEY, F.struct("version", "other").alias("content"))
-    groups = seen.groupBy("content").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")
-    )
-    groups = checkpointed(groups.filter("least < most").select("content", "least", "n"))
-    copies = join_statistics(seen, groups, "content", "n").filter("doc_id > least")
-    return checkpointed(copies.select(*_KEY).distinct())
-
-
 def _at(column: np.ndarray) -> pa.Array:
     return pa.array(column.astype(np.int32))
 
 
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of equal keys, and the run of each row."""
+    first = np.zeros(len(keys[0]), bool)
+    first[:1] = True
+    for key in keys:
+        first[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
 def _anchors(texts: DataFrame, window: int, length: int) -> DataFrame:
-    """(anchor, doc_id, at): a hash of the words at each cover position."""
+    """(anchor, doc_id, at, sure): hashes of the words at cover positions.
+
+    Rows that are ``sure`` share their anchor with another document of their batch;
+    one of these comes again among the others.
+    """
     wanted = np.isin(np.arange(PERIOD), COVER)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
             for piece in pieces(batch):
                 w = words(piece.column("text"))
                 start = w.windows(length)
                 place = start - w.first[w.doc[start]]
                 kept = wanted[place % PERIOD] & (w.counts[w.doc[start]] >= window)
                 start, place = start[kept], place[kept]
-                row = pa.array(w.doc[start])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(w.window_hash(start, length).view(np.int64)),
-                        piece.column("doc_id").take(row),
-                        _at(place),
-                    ],
-                    ["anchor", "doc_id", "at"],
-                )
-
-    return texts.select("doc_id", "text").mapInArrow(rows, "anchor long, doc_id long, at int")
+                ids = piece.column("doc_id").to_numpy()
+                parts.append((w.window_hash(start, length).view(np.int64), ids[w.doc[start]], place.astype(np.int32)))
+            anchor, doc, at = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((doc, anchor))
+            anchor, doc, at = anchor[order], doc[order], at[order]
+            starts, group = _groups(anchor)
+            sure = np.zeros(len(anchor), bool)
+            if len(starts):
+                sure = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))[group]
+            again = starts[sure[starts]]
+            out = np.concatenate((np.arange(len(anchor)), again))
+            marks = np.concatenate((sure, np.zeros(len(again), bool)))
+            columns = [pa.array(c) for c in (anchor[out], doc[out], at[out], marks)]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "at", "sure"])
+
+    return texts.select("doc_id", "text").mapInArrow(rows, "anchor long, doc_id long, at int, sure boolean")
+
+
+def _shared(anchors: DataFrame) -> DataFrame:
+    """doc_id and at of the anchors that two documents hold."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, None
+        for batch in batches:
+            anchor, doc, at = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "at"))
+            if held is not None:
+                anchor, doc, at = (np.concatenate(c) for c in zip(held, (anchor, doc, at)))
+            if not len(anchor):
+                continue
+            starts, group = _groups(anchor)
+            shared = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
+            shared |= np.zeros(1, bool) if known is None else anchor[starts] == known
+            kept = shared[group]
+            # the last anchor may go on: its rows wait until a second document comes
+            last = slice(starts[-1], None)
+            known = anchor[-1] if shared[-1] else None
+            held = None if shared[-1] else (anchor[last], doc[last], at[last])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[kept]), pa.array(at[kept])], ["doc_id", "at"])
+
+    settled = anchors.filter("sure").select("doc_id", "at")
+    rest = anchors.filter("NOT sure").select("anchor", "doc_id", "at").repartition("anchor").sortWithinPartitions("anchor")
+    return settled.union(rest.mapInArrow(stream, "doc_id long, at int"))
 
 
 def _window_hashes(w: Words, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +156,15 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(candidates: DataFrame, window: int, length: int) -> DataFrame:
-    """(high, low, doc_id, version, at): hashes of all windows around the shared anchors."""
+    """(high, low, doc_id, version, at, sure): hashes of all windows around the shared anchors.
+
+    A smaller doc_id of the batch has the rows that are ``sure``.
+    """
+    names = ["high", "low", *_KEY, "at", "sure"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = [tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int32))]
             for piece in pieces(batch):
                 w = words(piece.column("text"))
                 row, at = _flat(piece.column("anchors"))
@@ -136,44 +173,54 @@ def _windows(candidates: DataFrame, window: int, length: int) -> DataFrame:
                 ends = w.first[row] + np.minimum(at, w.counts[row] - window) + 1
                 begins = np.minimum(w.first[row] + np.maximum(at - (window - length), 0), ends)
                 start = np.flatnonzero(_marks(len(w.doc), begins, ends))
-                high, low = _window_hashes(w, start, window)
-                row = pa.array(w.doc[start])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(high),
-                        pa.array(low),
-                        piece.column("doc_id").take(row),
-                        piece.column("version").take(row),
-                        _at(start - w.first[w.doc[start]]),
-                    ],
-                    ["high", "low", *_KEY, "at"],
-                )
-
-    schema = "high long, low int, doc_id long, version long, at int"
+                row = w.doc[start]
+                ids, versions = (piece.column(c).to_numpy()[row] for c in _KEY)
+                parts.append((*_window_hashes(w, start, window), ids, versions, (start - w.first[row]).astype(np.int32)))
+            high, low, doc, version, at = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((doc, low, high))
+            high, low, doc, version, at = (c[order] for c in (high, low, doc, version, at))
+            starts, group = _groups(high, low)
+            sure = doc > doc[starts][group]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (high, low, doc, version, at, sure)], names)
+
+    schema = "high long, low int, doc_id long, version long, at int, sure boolean"
     return candidates.select(*_KEY, "text", "anchors").mapInArrow(rows, schema)
 
 
-def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, version and ``starts``: windows of a document that also start in one with a smaller id."""
+def _held_before(windows: DataFrame) -> DataFrame:
+    """doc_id, version and at of the windows that a smaller doc_id holds."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            high, low, doc = (batch.column(c).to_numpy() for c in ("high", "low", "doc_id"))
+            if not len(doc):
+                continue
+            starts, group = _groups(high, low)
+            least = doc[starts]
+            if last is not None and last[:2] == (high[0], low[0]):
+                least[0] = last[2]
+            last = (high[-1], low[-1], least[-1])
+            yield batch.filter(pa.array(doc > least[group])).select([*_KEY, "at"])
+
+    settled = windows.filter("sure").select(*_KEY, "at")
+    rest = windows.filter("NOT sure").drop("sure").repartition("high", "low").sortWithinPartitions("high", "low", "doc_id")
+    return settled.union(rest.mapInArrow(stream, "doc_id long, version long, at int"))
+
+
+def _repeats(rows: DataFrame, window: int) -> DataFrame:
+    """doc_id, version, text and ``starts``: documents with windows that also start in one with a smaller id."""
     length = window - PERIOD + 1
-    anchors = _anchors(rows, window, length)
-    shared = anchors.groupBy("anchor").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")
-    )
-    shared = checkpointed(shared.filter("least < most").select("anchor", "n"))
+    # so many words have at least so many bytes
+    long = rows.filter((F.octet_length("text") >= 2 * window - 1) & F.col("doc_id").isNotNull())
+    shared = _shared(_anchors(long, window, length))
     # rows of one id get each other's places, too: more windows to look at, no other result
-    places = join_statistics(anchors, shared, "anchor", "n", copy_small=False).groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
-    places = checkpointed(places)
-    candidates = checkpointed(rows.select(*_KEY, "text").join(_measured(places), "doc_id"))
-
-    found = _windows(candidates, window, length)
-    holders = found.groupBy("high", "low").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")
-    )
-    key = F.struct("high", "low").alias("window")
-    holders = checkpointed(holders.filter("least < most").select(key, "least", "n"))
-    gone = join_statistics(found.select(key, *_KEY, "at"), holders, "window", "n", copy_small=False).filter("doc_id > least")
-    return checkpointed(gone.groupBy(*_KEY).agg(F.collect_list("at").alias("starts")))
+    places = checkpointed(shared.groupBy("doc_id").agg(F.collect_set("at").alias("anchors")))
+    candidates = checkpointed(long.join(_measured(places), "doc_id").select(*_KEY, "text", "anchors"))
+    gone = _held_before(_windows(candidates, window, length))
+    gone = checkpointed(gone.groupBy(*_KEY).agg(F.collect_list("at").alias("starts")))
+    # rows that repeat both id and text are one here
+    return candidates.drop("anchors").dropDuplicates(_KEY).join(_measured(gone), _KEY)
 
 
 def _joined(w: Words, kept: np.ndarray) -> pa.Array:
@@ -190,53 +237,63 @@ def _joined(w: Words, kept: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), w.texts, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _kept(rows: DataFrame, window: int) -> DataFrame:
-    """Texts without the words of repeated windows; ``whole`` texts have nothing but such."""
+def shortened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, version (hash of the text), n_removed and kept_text of the documents that lose words."""
+    if window < PERIOD:
+        raise ValueError(f"windows have {PERIOD} words or more")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 w = words(piece.column("text"))
-                whole = piece.column("whole").fill_null(False).to_numpy(zero_copy_only=False) & (w.counts >= window)
                 row, at = _flat(piece.column("starts"))
                 begins = w.first[row] + at
-                kept = ~(_marks(len(w.doc), begins, begins + window) | whole[w.doc])
-                left = np.bincount(w.doc[kept], minlength=w.texts)
+                gone = _marks(len(w.doc), begins, begins + window)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column("doc_id"),
-                        pa.array(w.counts.astype(np.int64)),
-                        pa.array((w.counts - left).astype(np.int64)),
-                        _joined(w, kept).cast(pa.string()),
+                        *(piece.column(c) for c in _KEY),
+                        pa.array(np.bincount(w.doc[gone], minlength=w.texts).astype(np.int64)),
+                        _joined(w, ~gone).cast(pa.string()),
                     ],
-                    ["doc_id", "n_words", "n_removed", "kept_text"],
+                    [*_KEY, "n_removed", "kept_text"],
                 )
 
-    schema = "doc_id long, n_words long, n_removed long, kept_text string"
-    return rows.select("doc_id", "text", "starts", "whole").mapInArrow(texts, schema)
+    schema = "doc_id long, version long, n_removed long, kept_text string"
+    return _repeats(_rows(docs), window).select(*_KEY, "text", "starts").mapInArrow(texts, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text of every row of ``docs``."""
-    if window < PERIOD:
-        raise ValueError(f"windows have {PERIOD} words or more")
-    rows = _rows(docs)
-    # so many words have at least so many bytes
-    long = F.coalesce((F.octet_length("text") >= 2 * window - 1) & F.col("doc_id").isNotNull(), F.lit(False))
-    full = rows.filter(long)
-    copies = _copies(full)
-    gone = repeated_windows(full.join(_measured(copies), _KEY, "left_anti"), window)
-    gone = gone.select(*_KEY, "starts", F.lit(False).alias("whole")).union(
-        copies.select(*_KEY, F.lit(None).cast("array<int>"), F.lit(True))
+    """doc_id, text, n_removed and kept_text of every row of ``docs``; text that loses nothing stays as it is."""
+    changed = checkpointed(shortened(docs, window))
+    rows = _rows(docs).join(_measured(changed), _KEY, "left")
+    return rows.select(
+        "doc_id",
+        "text",
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("kept_text", "text").alias("kept_text"),
     )
-    rest = rows.filter(~long).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("whole"))
-    return _kept(full.join(_measured(gone), _KEY, "left"), window).union(_kept(rest, window))
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The kept texts as SHA-256 of their UTF-8 bytes."""
-    kept = without_repeats(docs, window)
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    """doc_id, n_words, n_removed and the SHA-256 of the kept words, joined by one space, of every row."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                w = words(piece.column("text"))
+                joined = _joined(w, np.ones(len(w.doc), bool))
+                sums = [hashlib.sha256(text.as_buffer()).hexdigest() for text in joined]
+                columns = [*(piece.column(c) for c in _KEY), pa.array(w.counts.astype(np.int64)), pa.array(sums, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*_KEY, "n_words", "whole_sha256"])
+
+    rows = _rows(docs).mapInArrow(whole, "doc_id long, version long, n_words long, whole_sha256 string")
+    changed = shortened(docs, window).select(*_KEY, "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return rows.join(_measured(checkpointed(changed)), _KEY, "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
+    )
 
 
 #: The same rows from strings of whole windows.
