@@ -70,6 +70,7 @@ def test_awkward_rows(spark):
 def test_shared_passages(spark, monkeypatch, batch):
     """Also in batches so small that most is settled in the streams, some groups longer than a batch."""
     monkeypatch.setattr(substring_dedup, "BROADCAST_DOCUMENTS", 5)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_COPIES", 10**6 if batch == "3" else 0)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rng = random.Random(11)
     rows = passages(rng, 60)

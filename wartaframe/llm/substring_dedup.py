@@ -8,8 +8,9 @@ two places of one window there is a shift below PERIOD at which both have an
 anchor, and the anchors are equal. So a window can only recur where an anchor
 does.
 
-1. Anchors (six in 31 words) held by two documents are shared.
-2. Around shared anchors the match is extended: the windows that contain one are
+1. Equal texts are settled first: all but the smallest doc_id lose all windows.
+2. Anchors (six in 31 words) held by two documents are shared.
+3. Around shared anchors the match is extended: the windows that contain one are
    hashed (96 bits), and go where a smaller doc_id holds them, too.
 
 Skew and scale. No pair of documents is ever written. Anchors and windows are
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wartaframe.llm.words import Words, mix, pieces, powers, words
+from wartaframe.operators.joins import join_statistics
 from wartaframe.session import checkpointed
 
 WINDOW = 50
@@ -46,6 +48,8 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Documents up to which a list of them is copied to all executors instead of moving the texts.
 BROADCAST_DOCUMENTS = 1_000
+#: Copies (16 bytes each) up to which they are left out before anchors are hashed, else after it.
+BROADCAST_COPIES = 1_000_000
 _KEY = ["doc_id", "version"]
 
 
@@ -61,8 +65,16 @@ def _measured(listed: DataFrame) -> DataFrame:
     return F.broadcast(listed) if short else listed.hint("merge")
 
 
-def _at(column: np.ndarray) -> pa.Array:
-    return pa.array(column.astype(np.int32))
+def _copies(rows: DataFrame) -> DataFrame:
+    """Keys of rows whose text a smaller doc_id has."""
+    seen = checkpointed(rows.select(*_KEY, F.xxhash64(F.lit(1), "text").alias("other")))
+    seen = seen.select(*_KEY, F.struct("version", "other").alias("content"))
+    groups = seen.groupBy("content").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")
+    )
+    groups = checkpointed(groups.filter("least < most").select("content", "least", "n"))
+    copies = join_statistics(seen, groups, "content", "n").filter("doc_id > least")
+    return checkpointed(copies.select(*_KEY).distinct())
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,15 +220,25 @@ def _held_before(windows: DataFrame) -> DataFrame:
     return settled.union(rest.mapInArrow(stream, "doc_id long, version long, at int"))
 
 
-def _repeats(rows: DataFrame, window: int) -> DataFrame:
+def _long(docs: DataFrame, window: int) -> DataFrame:
+    """Rows that may have a window: so many words have at least so many bytes."""
+    return _rows(docs).filter((F.octet_length("text") >= 2 * window - 1) & F.col("doc_id").isNotNull())
+
+
+def _repeats(long: DataFrame, copies: DataFrame, window: int) -> DataFrame:
     """doc_id, version, text and ``starts``: documents with windows that also start in one with a smaller id."""
     length = window - PERIOD + 1
-    # so many words have at least so many bytes
-    long = rows.filter((F.octet_length("text") >= 2 * window - 1) & F.col("doc_id").isNotNull())
-    shared = _shared(_anchors(long, window, length))
+    read = long
+    if copies.count() <= BROADCAST_COPIES:
+        read = long.join(F.broadcast(copies), _KEY, "left_anti")
+    shared = _shared(_anchors(read, window, length))
     # rows of one id get each other's places, too: more windows to look at, no other result
-    places = checkpointed(shared.groupBy("doc_id").agg(F.collect_set("at").alias("anchors")))
-    candidates = checkpointed(long.join(_measured(places), "doc_id").select(*_KEY, "text", "anchors"))
+    places = shared.groupBy("doc_id").agg(F.collect_set("at").alias("anchors"))
+    copied = copies.groupBy("doc_id").agg(F.collect_set("version").alias("copied"))
+    places = checkpointed(places.join(copied, "doc_id", "left"))
+    candidates = long.join(_measured(places), "doc_id")
+    candidates = candidates.filter(~F.coalesce(F.array_contains("copied", F.col("version")), F.lit(False)))
+    candidates = checkpointed(candidates.select(*_KEY, "text", "anchors"))
     gone = _held_before(_windows(candidates, window, length))
     gone = checkpointed(gone.groupBy(*_KEY).agg(F.collect_list("at").alias("starts")))
     # rows that repeat both id and text are one here
@@ -238,7 +260,10 @@ def _joined(w: Words, kept: np.ndarray) -> pa.Array:
 
 
 def shortened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, version (hash of the text), n_removed and kept_text of the documents that lose words."""
+    """doc_id, version (hash of the text), n_removed, kept_text and whole of the documents that lose words.
+
+    Of copies, which are ``whole`` repeats if they have a window at all, nothing is counted or kept.
+    """
     if window < PERIOD:
         raise ValueError(f"windows have {PERIOD} words or more")
 
@@ -258,19 +283,27 @@ def shortened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     [*_KEY, "n_removed", "kept_text"],
                 )
 
+    long = _long(docs, window)
+    copies = _copies(long)
     schema = "doc_id long, version long, n_removed long, kept_text string"
-    return _repeats(_rows(docs), window).select(*_KEY, "text", "starts").mapInArrow(texts, schema)
+    cut = _repeats(long, copies, window).select(*_KEY, "text", "starts").mapInArrow(texts, schema)
+    return checkpointed(
+        cut.withColumn("whole", F.lit(False)).union(
+            copies.select(*_KEY, F.lit(0).cast("long"), F.lit(""), F.lit(True))
+        )
+    )
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text, n_removed and kept_text of every row of ``docs``; text that loses nothing stays as it is."""
-    changed = checkpointed(shortened(docs, window))
-    rows = _rows(docs).join(_measured(changed), _KEY, "left")
+    rows = _rows(docs).join(_measured(shortened(docs, window)), _KEY, "left")
+    n_words = F.when(F.col("whole"), F.size(F.regexp_extract_all("text", F.lit(r"[^ \t-\r]+"), F.lit(0))).cast("long"))
+    whole = n_words >= window
     return rows.select(
         "doc_id",
         "text",
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("kept_text", "text").alias("kept_text"),
+        F.when(whole, n_words).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("whole") & ~whole, F.col("text")).otherwise(F.coalesce("kept_text", "text")).alias("kept_text"),
     )
 
 
@@ -287,12 +320,15 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [*_KEY, "n_words", "whole_sha256"])
 
     rows = _rows(docs).mapInArrow(whole, "doc_id long, version long, n_words long, whole_sha256 string")
-    changed = shortened(docs, window).select(*_KEY, "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
-    return rows.join(_measured(checkpointed(changed)), _KEY, "left").select(
+    changed = shortened(docs, window).select(*_KEY, "n_removed", "whole", F.sha2("kept_text", 256).alias("kept_sha256"))
+    rows = rows.join(_measured(changed), _KEY, "left")
+    untouched = F.col("whole").isNull() | (F.col("whole") & (F.col("n_words") < window))
+    removed = F.when(F.col("whole"), F.col("n_words")).otherwise(F.col("n_removed"))
+    return rows.select(
         "doc_id",
         "n_words",
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
+        F.when(untouched, F.lit(0)).otherwise(removed).alias("n_removed"),
+        F.when(untouched, F.col("whole_sha256")).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
 
 
