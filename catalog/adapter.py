@@ -105,10 +105,30 @@ def sql_strip(text: str) -> str:
     return sql_replace(text, tx.EDGE_SPACE, "")
 
 
+def _sql_character(code: str) -> str:
+    latin = q_list(tx.LATIN_CONTROLS)
+    return f"""CASE WHEN {code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > {tx.LAST_CODE} THEN chr(65533)
+  WHEN {code} BETWEEN 128 AND 159 THEN {latin}[{code} - 127]
+  WHEN {code} BETWEEN 1 AND 8 OR {code} = 11 OR {code} BETWEEN 14 AND 31 OR {code} = 127
+    OR {code} BETWEEN 64976 AND 65007 OR {code} % 65536 >= 65534 THEN ''
+  ELSE chr({code}::INTEGER) END"""
+
+
 def sql_unescape(text: str) -> str:
-    for entity, character in tx.ENTITIES:
-        text = f"replace({text}, {q(entity)}, {q(character)})"
-    return text
+    """Part by part behind each ampersand; names are looked up in one map."""
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in tx.ENTITIES.items()) + "}"
+    digits = "ltrim(regexp_extract(m, '[0-9a-fA-F]+'), '0')"
+    number = f"""CASE WHEN length({digits}) > 8 THEN {tx.LAST_CODE + 1} WHEN {digits} = '' THEN 0
+  WHEN lower(m[2]) = 'x' THEN TRY_CAST('0x' || {digits} AS BIGINT) ELSE TRY_CAST({digits} AS BIGINT) END"""
+    # the longest beginning without a semicolon that is a name, where the whole is none
+    named = f"""list_transform([{names}], lambda names: coalesce(names[m],
+  list_filter(list_transform(range(length(m) - 1, 1, -1), lambda n: names[m[1:n]] || m[n + 1:]), lambda v: v IS NOT NULL)[1],
+  '&' || m))[1]"""
+    decoded = f"""list_transform([regexp_extract(p, {q(tx.REFERENCE)}, 1)], lambda m: CASE WHEN m = '' THEN '&' || p
+  WHEN m[1] = '#' THEN list_transform([{number}], lambda c: {_sql_character('c')})[1] || p[length(m) + 1:]
+  ELSE {named} || p[length(m) + 1:] END)[1]"""
+    return f"""CASE WHEN contains({text}, '&') THEN array_to_string(list_transform(string_split({text}, '&'),
+  lambda p, i: CASE WHEN i = 1 THEN p ELSE {decoded} END), '') ELSE {text} END"""
 
 
 def sql_clean(text: str) -> str:

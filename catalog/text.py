@@ -23,9 +23,20 @@ def documents(spark, sf_dir):
     return texts(spark, sf_dir, "documents", "doc_id")
 
 
-@query("c1_unescape", f"SELECT page_id, {sql_unescape('html')} AS plain FROM pages")
+#: References in each page of their own kind: named with and without semicolon, decimal, hexadecimal, unknown.
+REFERENCES = """ || ' caf&eacute; &rsquo;x&ndash;y &hellip &notit; &unknown; &#' || (page_id * 37) || '; &#x' || lower(to_hex(page_id * 61)) || ' &'"""
+
+
+def with_references(text):
+    return F.concat(
+        text, F.lit(" caf&eacute; &rsquo;x&ndash;y &hellip &notit; &unknown; &#"), (F.col("page_id") * 37).cast("string"),
+        F.lit("; &#x"), F.lower(F.hex(F.col("page_id") * 61)), F.lit(" &"),
+    )
+
+
+@query("c1_unescape", f"SELECT page_id, {sql_unescape('html')} AS plain FROM (SELECT page_id, html{REFERENCES} AS html FROM pages)")
 def unescape(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", tx.unescape_entities(F.col("html")).alias("plain"))
+    return pages(spark, sf_dir).select("page_id", tx.unescape_entities(with_references(F.col("html"))).alias("plain"))
 
 
 @query("c2_drop_tags", f"SELECT page_id, {sql_replace('html', tx.TAG, ' ')} AS plain FROM pages")
@@ -57,16 +68,18 @@ def letters_and_digits(spark, sf_dir):
 @query(
     "c5_clean_text",
     f"""SELECT 'd' || doc_id AS id, {sql_clean('text')} AS clean FROM documents
-UNION ALL SELECT 'p' || page_id, {sql_clean('html')} FROM pages""",
+UNION ALL SELECT 'p' || page_id, {sql_clean('html')} FROM pages
+UNION ALL SELECT 'r' || page_id, {sql_clean('html')} FROM (SELECT page_id, ''{REFERENCES} AS html FROM pages)""",
 )
 def clean_text(spark, sf_dir):
-    docs = documents(spark, sf_dir).select(
-        F.concat(F.lit("d"), "doc_id").alias("id"), tx.clean_text(F.col("text")).alias("clean")
-    )
-    return docs.union(
-        pages(spark, sf_dir).select(
-            F.concat(F.lit("p"), "page_id").alias("id"), tx.clean_text(F.col("html")).alias("clean")
-        )
+    def cleaned(rows, kind: str, key: str, text):
+        return rows.select(F.concat(F.lit(kind), key).alias("id"), tx.clean_text(text).alias("clean"))
+
+    docs, landed = documents(spark, sf_dir), pages(spark, sf_dir)
+    return (
+        cleaned(docs, "d", "doc_id", F.col("text"))
+        .union(cleaned(landed, "p", "page_id", F.col("html")))
+        .union(cleaned(landed, "r", "page_id", with_references(F.lit(""))))
     )
 
 

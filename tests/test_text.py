@@ -28,6 +28,18 @@ def python_clean(text):
     return " ".join(re.sub(r"[^a-z0-9\s]", " ", text).split())
 
 
+def test_unescape_equals_the_standard(spark):
+    """All names with and without semicolon, broken ones, and every number up to beyond the last character."""
+    names = [f"&{name}" for name in tx.ENTITIES] + [f"x&{name.rstrip(';')}y; {name}" for name in tx.ENTITIES]
+    odd = ["&", "&&", "a&b", "&;", "&#;", "&#x;", "&#X41", "&#65", "&#065;x", "&#00000000000000065;", "&#99999999999999999999;",
+           "&#x0000000000110000;", "&#xZ", "&notit;", "&notin;", "&ampamp;", "&amp;lt;", "&amp&lt", "& lt;", "&#12&#x3c;", "&#128;&#x9f",
+           "&" + "a" * 40 + ";", "&lt" + "b" * 40, "&CounterClockwiseContourIntegral;", "&AMP&COPY;", "&\u00e9;", "", "no reference"]
+    step = 97
+    numbers = ["".join(f"&#{n};&#x{n:X}" for n in range(low, low + step)) for low in range(0, 0x110100, step)]
+    values = [*names, *odd, *numbers]
+    assert evaluate(spark, values, tx.unescape_entities) == [html.unescape(v) for v in values]
+
+
 def test_clean_text(spark):
     values = ["<b>Harga</b> NAIK 5%&nbsp;&amp; turun", "lihat https://x.id/a?b dan www.y.id", "é tá", "", None,
               "a&lt;b&gt;c", "http x", "&amp;lt;i&amp;gt;"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Mapping
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,17 +28,17 @@ TAG = "<[^>]+>"
 WEB_ADDRESS = rf"http{NON_SPACE}+|www\.{NON_SPACE}+"
 NOT_ALPHANUMERIC = "[^a-z0-9]+"
 
-# "&amp;" stays last: one pass must not decode what it has just produced.
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
+# What may follow an ampersand: a decimal or hexadecimal number, or a name.
+REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\x0c <&#;]{1,32};?)"
+#: Standard names with what they stand for; some also count without their semicolon.
+ENTITIES: Mapping[str, str] = dict(html5)
+_LONGEST_OPEN_NAME = max(len(name) for name in ENTITIES if not name.endswith(";"))
+REPLACEMENT = "�"
+#: Numbers from 0x80 to 0x9f mean the characters of code page 1252 where it has one.
+LATIN_CONTROLS = tuple(
+    bytes([code]).decode("cp1252", "ignore") or chr(code) for code in range(0x80, 0xA0)
 )
+LAST_CODE = 0x10FFFF
 
 _BLOCKS = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "table")
 BOILERPLATE = "(?is)" + "|".join(
@@ -55,10 +58,70 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
+def _entity_names() -> Column:
+    """The names as one constant: a map of maps by first character, so a lookup reads few keys."""
+    groups: dict[str, dict[str, str]] = defaultdict(dict)
+    for name, characters in ENTITIES.items():
+        groups[name[0]][name] = characters
+    return F.from_json(F.lit(json.dumps(groups)), "map<string,map<string,string>>")
+
+
+def _named(reference: Column, names: Column) -> Column:
+    """What a name stands for; else its longest beginning that counts without a semicolon."""
+
+    def known(name: Column) -> Column:
+        return F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
+
+    beginnings = [
+        F.when(
+            F.length(reference) > n,
+            F.concat(known(F.left(reference, F.lit(n))), F.substr(reference, F.lit(n + 1))),
+        )
+        for n in range(_LONGEST_OPEN_NAME, 1, -1)
+    ]
+    return F.coalesce(known(reference), *beginnings, F.concat(F.lit("&"), reference))
+
+
+def _character(code: Column) -> Column:
+    """The character of a number; none for numbers that no text may hold."""
+    plane_end = F.pmod(code, F.lit(0x10000)) >= 0xFFFE
+    control = code.between(0x1, 0x8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F)
+    latin = F.array(*[F.lit(c) for c in LATIN_CONTROLS])
+    return (
+        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > LAST_CODE), REPLACEMENT)
+        .when(code.between(0x80, 0x9F), F.get(latin, (code - 0x80).cast("int")))
+        .when(code == 0xFEFF, "\ufeff")  # a decoder takes it for a byte-order mark
+        .when(control | code.between(0xFDD0, 0xFDEF) | plane_end, "")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
+
+
+def _numbered(reference: Column) -> Column:
+    def digits(pattern: str, base: int) -> Column:
+        # leading zeros say nothing; what is longer than any character's number is above all of them
+        text = F.ltrim(F.regexp_extract(reference, pattern, 0), F.lit("0"))
+        code = F.coalesce(F.conv(text, base, 10).cast("long"), F.lit(0))
+        return F.when(F.length(text) > 8, F.lit(LAST_CODE + 1)).otherwise(code)
+
+    hexadecimal = F.lower(F.substring(reference, 2, 1)) == "x"
+    code = F.when(hexadecimal, digits("[0-9a-fA-F]+", 16)).otherwise(digits("[0-9]+", 10))
+    return evaluated_once(code, _character)
+
+
 def unescape_entities(text: Column) -> Column:
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    """Character references decoded in one pass: what it produces is not decoded again."""
+    names = _entity_names()
+
+    def decoded(part: Column) -> Column:
+        def whole(reference: Column) -> Column:
+            rest = F.substr(part, F.length(reference) + 1)
+            value = F.when(F.startswith(reference, F.lit("#")), _numbered(reference)).otherwise(_named(reference, names))
+            return F.when(reference == "", F.concat(F.lit("&"), part)).otherwise(F.concat(value, rest))
+
+        return evaluated_once(F.regexp_extract(part, REFERENCE, 1), whole)
+
+    parts = F.transform(F.split(text, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(decoded(part)))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
 
 
 def drop_tags(text: Column) -> Column:
