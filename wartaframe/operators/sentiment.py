@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wartaframe.functions import fixed_values as fixed
 from wartaframe.functions import text as tx
 from wartaframe.functions.direction import DirectionRules, direction_score
-from wartaframe.operators.joins import join_lookup, join_statistics
+from wartaframe.operators.joins import fits_broadcast, join_lookup, join_statistics
 from wartaframe.operators.prepare import vocabulary_stems
 from wartaframe.session import checkpointed
 
@@ -53,42 +55,79 @@ def word_scores(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(word: str, lengths: list[int], cut: Callable[[Column, Column], Column]) -> Column:
+    """Beginnings or endings of a word that have one of the given lengths."""
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(word))
+    return F.explode(F.transform(sizes, lambda n: cut(F.col(word), n)))
+
+
+def _lengths(values: DataFrame, column: str) -> list[int]:
+    """The different lengths, no more than the longest value has characters."""
+    return sorted(r[0] for r in values.select(F.length(column)).distinct().collect())
+
+
+def _word_parts(vocabulary: DataFrame, parted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, n, heads) and (word, n, tails): what a phrase can begin with at the end of a word, and go on with.
+
+    A phrase of two words may stop inside the second; a longer one goes on with a whole word.
+    """
+    heads = parted.select(F.col("head").alias("part")).distinct()
+    stops = parted.filter("n_words = 2").select(F.col("second").alias("part")).distinct()
+    wholes = parted.filter("n_words > 2").select(F.col("second").alias("part")).distinct()
+
+    def met(pieces: DataFrame, parts: DataFrame) -> DataFrame:
+        return join_lookup(pieces, parts, "part").select("word", "n", "part")
+
+    ends = met(vocabulary.select("word", "n", _pieces("word", _lengths(heads, "part"), F.right).alias("part")), heads)
+    begins = met(vocabulary.select("word", "n", _pieces("word", _lengths(stops, "part"), F.left).alias("part")), stops)
+    whole = met(vocabulary.select("word", "n", F.col("word").alias("part")), wholes)
+    tails = begins.union(whole.withColumn("part", F.concat("part", F.lit(" "))))
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        # no longer than the word has pieces
+        return checkpointed(rows.groupBy("word", "n").agg(F.collect_set("part").alias(name)))
+
+    return listed(ends, "heads"), listed(tails, "tails")
+
+
 def phrase_matches(articles: DataFrame, phrases: DataFrame) -> DataFrame:
     """(seq, entry_id, weight) once per phrase that is a substring of ``text_final``.
 
-    A phrase may start inside a word, where the end of the word equals the first
-    word of the phrase. Each distinct word of the corpus is matched with those
-    heads once; the tokens then meet their few phrases by equality, and the rest of
-    a phrase is compared with the words that follow.
+    A phrase may start inside a word, where the end of the word equals its first
+    word, and stop inside one. Each distinct word of the corpus is matched with the
+    first and second words of the phrases once; two neighbouring tokens then name
+    the phrases by equality of their first two words. Only longer phrases are
+    looked for in the text, and only in the articles that hold their beginning.
     """
+    words = F.split("phrase", " ")
     parted = phrases.select(
-        "entry_id",
-        "weight",
-        F.substring_index("phrase", " ", 1).alias("head"),
-        F.regexp_replace("phrase", "^[^ ]* ?", "").alias("rest"),
-    )
-    longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).scalar()
-    words = F.split("text_final", " ")
-
-    def token(word: Column, i: Column) -> Column:
-        following = F.slice("w", i + 2, F.col("k"))
-        return F.struct(word.alias("word"), F.array_join(following, " ").alias("following"))
-
-    tokens = articles.select("seq", words.alias("w"), (F.coalesce(longest, F.lit(1)) - 1).alias("k")).select(
-        "seq", F.inline(F.transform("w", token))
-    )
-    vocabulary = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    endings = vocabulary.select(
-        "word", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))).alias("at")
-    ).select("word", "n", F.expr("substring(word, at)").alias("head"))
-    by_head = parted.groupBy("head").agg(F.collect_list(F.struct("entry_id", "rest", "weight")).alias("entries"))
-    known = checkpointed(
-        join_lookup(endings, by_head, "head")
-        .groupBy("word", "n")
-        .agg(F.flatten(F.collect_list("entries")).alias("entries"))
+        "entry_id", "weight", "phrase", F.get(words, F.lit(0)).alias("head"),
+        F.get(words, F.lit(1)).alias("second"), F.size(words).alias("n_words"),
+    ).withColumn("start", F.concat("head", F.lit(" "), "second", F.when(F.col("n_words") > 2, " ").otherwise("")))
+    parted = checkpointed(parted)
+
+    tokens = articles.select("seq", F.split("text_final", " ").alias("w"))
+    pairs = tokens.select(
+        "seq",
+        F.inline(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))),
+                            F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))),
+                            lambda a, b: F.struct(a.alias("word"), b.alias("next")))),
     )
-    found = join_statistics(tokens, known, "word", "n").select("seq", "following", F.inline("entries"))
-    return found.filter(F.startswith("following", "rest")).select("seq", "entry_id", "weight").distinct()
+    vocabulary = checkpointed(tokens.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    heads, tails = _word_parts(vocabulary, parted)
+    begun = join_statistics(pairs, heads, "word", "n").select("seq", "next", "heads")
+    met = join_statistics(begun, tails.withColumnRenamed("word", "next"), "next", "n")
+    starts = met.select("seq", F.explode("heads").alias("head"), "tails").select(
+        "seq", "head", F.explode("tails").alias("tail")
+    ).select("seq", F.concat("head", F.lit(" "), "tail").alias("start"))
+    known = parted.select("start").distinct()
+    found = checkpointed(join_lookup(starts, known, "start").select("seq", "start").distinct())
+
+    named = found.join(F.broadcast(parted) if fits_broadcast(parted) else parted, "start")
+    short = named.filter("n_words = 2").select("seq", "entry_id", "weight")
+    longer = named.filter("n_words > 2").select("seq", "entry_id", "weight", "phrase")
+    longer = articles.select("seq", "text_final").join(longer, "seq").filter(F.contains("text_final", "phrase"))
+    return short.union(longer.select("seq", "entry_id", "weight"))
 
 
 def phrase_scores(articles: DataFrame, phrases: DataFrame) -> DataFrame:
