@@ -15,12 +15,14 @@ two 0.23, with three 0.084. TREES = 12 trees with 21 paths together miss it with
 of 1.6e-8, 5.3e-7 where all common nodes branch once more and 5.5e-6 where they
 branch twice; large nodes are followed on all of them. The sketch filter
 (two bits of 1024 minwise values, cut-off four standard deviations below the
-threshold) adds about 3e-5.
+threshold) adds about 3e-5. Members of full sets are 64-bit hashes: two of n different
+shingles of a pair have the same one with a chance of n * n / 2^65.
 
 Skew. Equal sets collapse to one representative with an aggregate first, so exact
 copies never meet. In a large node every document is compared with one pivot (a
 medoid of a sample), which ties a large group of near copies together in linear
-time; after that only documents of different components are compared. Where few
+time; after that only documents of different components are compared, confirmed
+inside their unit, and no more links written than tie these together. Where few
 documents of a large node are outside its largest component, they are compared
 with all of it in blocks, otherwise the node branches. Nothing is capped: nodes
 that stay large after DEPTH levels go through the blocks, too.
@@ -239,80 +241,134 @@ def _pivot_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.select("rep", "pivot", "sketch", "pivot_sketch").mapInArrow(near, "rep long, pivot long")
 
 
-def _unit_pairs(units: DataFrame, sketches: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(units: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = units.join(sketches, "rep").join(labels, "rep", "left")
+    return rows.withColumn("label", F.coalesce("label", "rep"))
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole units of a stream sorted by unit, some of them at a time."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        if not table.num_rows:
+            continue
+        unit = table.column("unit").to_numpy()
+        whole = 0 if unit[0] == unit[-1] else int(len(unit) - np.argmax(unit[::-1] != unit[-1]))
+        rest = table.slice(whole).combine_chunks()
+        if whole:
+            yield table.slice(0, whole)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _close_pairs(
+    unit: np.ndarray, side: np.ndarray, sketch: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and estimated similarity of the pairs of each unit that differ in ``side`` and pass the cut."""
+    sizes = np.diff(np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True]))))
+    after = np.concatenate([np.arange(s - 1, -1, -1) for s in sizes])
+    lows, highs, likes = [], [], []
+    bounds = np.searchsorted(np.cumsum(after), np.arange(0, after.sum() + 1, 1 << 16))
+    cuts = np.unique(np.concatenate((bounds, [len(after)])))
+    for start, stop in zip(cuts[:-1], cuts[1:]):
+        span = after[start:stop]
+        low = np.repeat(np.arange(start, stop), span)
+        high = low + 1 + np.arange(len(low)) - np.repeat(np.cumsum(span) - span, span)
+        apart = side[low] != side[high]
+        low, high = low[apart], high[apart]
+        like = _estimate(sketch[low], sketch[high])
+        close = like >= SKETCH_CUT
+        lows.append(low[close]), highs.append(high[close]), likes.append(like[close])
+    return np.concatenate(lows), np.concatenate(highs), np.concatenate(likes)
+
+
+def _unit_pairs(units: DataFrame, sketches: DataFrame) -> DataFrame:
     """Candidate pairs inside small units, compared exhaustively on sketches.
 
-    Without labels, each document names one partner that is surely similar, or its
-    best partner when none is sure: enough to tie components together. With labels,
-    every pair across components that passes the cut is named.
+    Each document names one partner that is surely similar, or its best partner
+    when none is sure: enough to tie components together.
     """
-    rows = units.join(sketches, "rep")
-    if labels is None:
-        rows = rows.withColumn("label", F.lit(None).cast("long"))
-    else:
-        rows = rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    rows = rows.select("unit", "rep", "label", "sketch").repartition("unit").sortWithinPartitions("unit", "rep")
-    linking = labels is None
-
-    def compare(unit, rep, label, sketch):
-        sizes = np.diff(np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True]))))
-        after = np.concatenate([np.arange(s - 1, -1, -1) for s in sizes])
-        lows, highs, likes = [], [], []
-        bounds = np.searchsorted(np.cumsum(after), np.arange(0, after.sum() + 1, 1 << 16))
-        cuts = np.unique(np.concatenate((bounds, [len(after)])))
-        for start, stop in zip(cuts[:-1], cuts[1:]):
-            span = after[start:stop]
-            low = np.repeat(np.arange(start, stop), span)
-            high = low + 1 + np.arange(len(low)) - np.repeat(np.cumsum(span) - span, span)
-            apart = rep[low] != rep[high] if linking else label[low] != label[high]
-            low, high = low[apart], high[apart]
-            like = _estimate(sketch[low], sketch[high])
-            close = like >= SKETCH_CUT
-            lows.append(low[close]), highs.append(high[close]), likes.append(like[close])
-        low, high, like = np.concatenate(lows), np.concatenate(highs), np.concatenate(likes)
-        if linking and len(low):
-            sure = like >= SURE
-            tied = np.zeros(len(rep), bool)
-            tied[low[sure]] = tied[high[sure]] = True
-            by_high = np.lexsort((low, high))
-            by_high = by_high[sure[by_high]]
-            leads = by_high[np.concatenate(([True], high[by_high][1:] != high[by_high][:-1]))] if len(by_high) else by_high
-            near = np.flatnonzero(~sure)
-            both = np.concatenate((near, near))
-            end = np.concatenate((low[near], high[near]))
-            both, end = both[~tied[end]], end[~tied[end]]
-            order = np.lexsort((both, -like[both], end))
-            best = both[order][np.concatenate(([True], end[order][1:] != end[order][:-1]))] if len(order) else both
-            chosen = np.unique(np.concatenate((leads, best)))
-            low, high = low[chosen], high[chosen]
-        return pd.DataFrame({"a": rep[low], "b": rep[high]}).drop_duplicates()
+
+    def chosen(rep, low, high, like):
+        sure = like >= SURE
+        tied = np.zeros(len(rep), bool)
+        tied[low[sure]] = tied[high[sure]] = True
+        by_high = np.lexsort((low, high))
+        by_high = by_high[sure[by_high]]
+        leads = by_high[np.concatenate(([True], high[by_high][1:] != high[by_high][:-1]))] if len(by_high) else by_high
+        near = np.flatnonzero(~sure)
+        both = np.concatenate((near, near))
+        end = np.concatenate((low[near], high[near]))
+        both, end = both[~tied[end]], end[~tied[end]]
+        order = np.lexsort((both, -like[both], end))
+        best = both[order][np.concatenate(([True], end[order][1:] != end[order][:-1]))] if len(order) else both
+        return np.unique(np.concatenate((leads, best)))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-            if not table.num_rows:
-                continue
-            unit = table.column("unit").to_numpy()
-            whole = int(np.searchsorted(unit != unit[-1], False)) if unit[0] == unit[-1] else int(
-                len(unit) - np.argmax(unit[::-1] != unit[-1])
-            )
-            rest = table.slice(whole).combine_chunks()
-            if whole:
-                yield from found(table.slice(0, whole))
-        if rest is not None and rest.num_rows:
-            yield from found(rest)
-
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        out = compare(
-            table.column("unit").to_numpy(),
-            table.column("rep").to_numpy(),
-            table.column("label").to_numpy() if not linking else None,
-            _matrix(table.column("sketch")),
-        )
-        yield pa.RecordBatch.from_pandas(out.astype("int64"), preserve_index=False)
+        for table in _by_unit(batches):
+            rep = table.column("rep").to_numpy()
+            low, high, like = _close_pairs(table.column("unit").to_numpy(), rep, _matrix(table.column("sketch")))
+            if len(low):
+                kept = chosen(rep, low, high, like)
+                low, high = low[kept], high[kept]
+            out = pd.DataFrame({"a": rep[low], "b": rep[high]}).drop_duplicates()
+            yield pa.RecordBatch.from_pandas(out.astype("int64"), preserve_index=False)
 
-    return rows.mapInArrow(pairs, "a long, b long")
+    rows = units.join(sketches, "rep").select("unit", "rep", "sketch")
+    return rows.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(pairs, "a long, b long")
+
+
+def _unit_links(
+    units: DataFrame, sketches: DataFrame, labels: DataFrame, docs: DataFrame, shingle_words: int, percent: int
+) -> DataFrame:
+    """(a, b): confirmed links that tie the components inside each unit together.
+
+    First the members of units with a close document of another component are
+    named, then their full sets come to the unit. Close pairs are confirmed there,
+    the most similar first, and only where their components are still apart. So a
+    unit gives fewer links than it has documents, however many pairs are close.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_unit(batches):
+            sides = table.column("label").to_numpy()
+            low, high, _ = _close_pairs(table.column("unit").to_numpy(), sides, _matrix(table.column("sketch")))
+            kept = pa.array(np.unique(np.concatenate((low, high))))
+            yield from table.select(["unit", "rep"]).take(kept).combine_chunks().to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_unit(batches):
+            rep, side = table.column("rep").to_numpy(), table.column("label").to_numpy()
+            members = table.column("members").combine_chunks()
+            unit = table.column("unit").to_numpy()
+            low, high, like = _close_pairs(unit, side, _matrix(table.column("sketch")))
+            root: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def find(x):
+                while x in root:
+                    x = root[x]
+                return x
+
+            links = []
+            for k in np.argsort(-like, kind="stable"):
+                i, j = low[k], high[k]
+                x, y = find((unit[i], side[i])), find((unit[j], side[j]))
+                if x != y:
+                    left, right = members[int(i)].values.to_numpy(), members[int(j)].values.to_numpy()
+                    shared = len(np.intersect1d(left, right, assume_unique=True))
+                    if 100 * shared >= percent * (len(left) + len(right) - shared):
+                        root[x] = y
+                        links.append((rep[i], rep[j]))
+            found = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    rows = _labelled(units, sketches, labels).select("unit", "rep", "label", "sketch")
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "rep")
+    close = checkpointed(rows.mapInArrow(near, "unit long, rep long"))
+    members = _members(docs, close.select("rep").distinct(), shingle_words)
+    rows = _labelled(close, sketches, labels).join(members, "rep").select("unit", "rep", "label", "sketch", "members")
+    return rows.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(confirm, "a long, b long")
 
 
 def _oriented(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -321,10 +377,10 @@ def _oriented(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ).distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Candidate pairs with ``ok``: whether the full sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    if pairs.count() <= BROADCAST_IDS // 2:
+def _members(docs: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
+    """rep and its full set (64-bit hashes of its shingles) for the documents named in ``ids``."""
+    ids = checkpointed(ids)
+    if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
 
@@ -336,14 +392,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: i
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _longs(value))
                 yield pa.RecordBatch.from_arrays([piece.column("rep"), lists], ["rep", "members"])
 
-    members = checkpointed(wanted.mapInArrow(sets, "rep long, members array<long>"))
+    return checkpointed(wanted.mapInArrow(sets, "rep long, members array<long>"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Those candidate pairs whose full sets reach the threshold."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    members = _members(docs, ids, shingle_words)
     left = members.select(F.col("rep").alias("a"), F.col("members").alias("left"))
     right = members.select(F.col("rep").alias("b"), F.col("members").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("left", "right"))
     tested = both.select("a", "b", shared.alias("shared"), (F.size("left") + F.size("right")).alias("total"))
     ok = 100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))
-    return checkpointed(tested.select("a", "b", ok.alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok")))
+    return checkpointed(tested.filter(ok).select("a", "b").distinct())
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -400,9 +462,9 @@ def near_duplicates(
     # first round: one link for each document is enough to tie components together
     tied = large.filter(F.col("path") < LARGE_PATHS)
     pivots = _pivot_pairs(tied, sketches).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    pairs = checkpointed(_oriented(_unit_pairs(units, sketches, None).union(pivots)))
-    tested = _confirmed(pairs, docs, shingle_words, percent)
-    labels = components(tested.filter("ok").select("a", "b"))
+    pairs = checkpointed(_oriented(_unit_pairs(units, sketches).union(pivots)))
+    links = _confirmed(pairs, docs, shingle_words, percent)
+    labels = components(links)
 
     # second round: whatever is still apart, exhaustively
     left = _mixed(units, "unit", labels).select("unit", "rep")
@@ -418,11 +480,9 @@ def near_duplicates(
         shared = checkpointed(_shared(_branched(rest, sketches)))
         left = left.union(_mixed(_units(shared.filter(F.col("n") <= SMALL_NODE)), "unit", labels).select("unit", "rep"))
         large = shared.filter(F.col("n") > SMALL_NODE)
-    pairs = _oriented(_unit_pairs(left, sketches, labels)).join(tested, ["a", "b"], "left_anti")
-    pairs = checkpointed(pairs)
-    if not pairs.isEmpty():
-        more = _confirmed(pairs, docs, shingle_words, percent)
-        labels = components(tested.filter("ok").union(more.filter("ok")).select("a", "b"))
+    more = checkpointed(_oriented(_unit_links(left, sketches, labels, docs, shingle_words, percent)))
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     found = classes.select("fp_a", "fp_b", "rep").join(labels, "rep", "left")
     found = found.select("fp_a", "fp_b", F.coalesce("label", "rep").alias("component"))
