@@ -59,7 +59,7 @@ SMALL_NODE = 256
 #: Members of a large node among which its pivot is chosen (expected number).
 PIVOT_SAMPLE = 64
 #: Members of one side of a block in which a large node's components are compared.
-BLOCK = 256
+BLOCK = 1024
 #: Documents outside the largest component of a node up to which it is not branched.
 FEW = 1024
 COORDINATES = 1024
