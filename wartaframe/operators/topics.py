@@ -303,10 +303,14 @@ def model_topics(
     candidates: Iterable[int] = CANDIDATE_TOPICS,
     passes: int = PASSES,
     seed: int = fixed.SEED,
+    keep_terms: int = KEEP_TERMS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Articles with ``topik_dominan`` and ``label_topik``, topic rows, category rows."""
+    """Articles with ``topik_dominan`` and ``label_topik``, topic rows, category rows.
+
+    Topics are learnt from the ``keep_terms`` most widespread terms at most.
+    """
     spark = docs.sparkSession
-    terms = checkpointed(topic_vocabulary(docs, tokens))
+    terms = checkpointed(topic_vocabulary(docs, tokens, keep_terms))
     guard = topic_guard(docs, terms).first()
     if not guard.usable:
         plain = docs.withColumn("topik_dominan", F.lit(-1)).withColumn(
