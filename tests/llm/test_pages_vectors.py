@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 
@@ -154,3 +155,36 @@ def test_copies_of_a_page_have_one_vote(spark):
             assert r.text == want[r.page_id]
     found = html_text.recurring(spark.createDataFrame(rows, PAGES)).collect()
     assert {r.site for r in found} == {html_text._site("half.example")}
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<a "' * 250_000,
+        '<a "' * 250_001 + ">",
+        '<a ">"' * 150_000,
+        "<a \"'>" * 150_001,
+        "<span>" * 50_000 + "</b>" * 50_000,
+        "<p><section>" + "<span>" * 50_000 + "<ul>" * 50_000,
+        "<div>" * 50_000 + "</p>" * 50_000,
+    ],
+)
+def test_broken_pages_take_linear_time(page):
+    begun = time.monotonic()
+    root = html_text.parse(page + "<p>end</p>")
+    html_text.text_of(root, set())
+    assert time.monotonic() - begun < 15
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p title='a>b'>one</p>", "one"),
+        ("<p>one <a href=\"x>two</a> three</p><p>four</p>", "one two three\nfour"),
+        ("<p>1 < 2 and <b>3</b></p>", "1 < 2 and 3"),
+        ("<p>one</b> two</p></section><p>three", "one two\nthree"),
+        ("<ul><li>a<li>b</ul>c", "a\nb\nc"),
+    ],
+)
+def test_broken_markup(page, text):
+    assert html_text.text_of(html_text.parse(page), set()) == text

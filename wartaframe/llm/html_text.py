@@ -21,8 +21,8 @@ most BROADCAST_TEMPLATES, else each page is joined with the templates it holds.
 
 Defined results. A null or empty html gives an empty text. Pages without a host
 (null url) share one. Rows that repeat are rows of their own in the result and one
-page in the counts; a null page_id is kept. Malformed markup is read as far as it makes sense: unknown end tags are
-ignored, unclosed elements end with their parent. Extra columns are ignored.
+page in the counts; a null page_id is kept. Malformed markup is read as far as it makes sense, in time that grows
+with the page: unknown end tags are ignored, unclosed elements end with their parent. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,10 +87,12 @@ OUTER_NAMES = frozenset("header topbar top".split())
 KEPT = frozenset("html body main article".split())
 QUOTED = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption b i em strong span a".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*(?:>|\Z)",
-    re.S,
+#: A tag with no "<" or ">" in its quotes, read without going back and at most up to the next tag.
+_PLAIN_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/<>\"']*+)(?=[\s/>])((?:[^\"'<>]++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>"
 )
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_UNQUOTED = re.compile(r"[^\"'>]*")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -138,56 +140,147 @@ def is_other(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
     return other, names
 
 
+class Tags:
+    """Markup of a page from left to right, in time that grows with its length.
+
+    A tag whose quotes do not close is no tag and goes up to its first ">"; the places from
+    which reading a tag ran into the end are remembered, so no later tag reads on from them.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.hopeless: set[int] = set()
+
+    def close(self, at: int) -> int:
+        """Place of the ">" that ends a tag's attributes from ``at`` on, -1 if there is none."""
+        page, passed = self.page, []
+        while at <= self.last and at not in self.hopeless:
+            passed.append(at)
+            at = _UNQUOTED.match(page, at).end()
+            if at <= self.last and page[at] == ">":
+                return at
+            quote = page.find(page[at], at + 1) if at < self.last else -1
+            if quote < 0:
+                break
+            at = quote + 1
+        self.hopeless.update(passed)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str | None, bool, str]]:
+        """(begin, end, name, whether an end tag, attributes); other markup has no name.
+
+        The reader may send the place to go on from, past text that is not markup.
+        """
+        page, at = self.page, 0
+        while (begin := page.find("<", at)) >= 0:
+            if (plain := _PLAIN_TAG.match(page, begin)) is not None:
+                at = (yield begin, plain.end(), plain[2].lower(), bool(plain[1]), plain[3]) or plain.end()
+                continue
+            at = begin + 1
+            name, ended, attributes = None, page.startswith("/", at), ""
+            if page.startswith("!--", at):
+                stop = page.find("-->", at + 3)
+                stop = len(page) if stop < 0 else stop + 3
+            elif (found := _NAME.match(page, begin)) is not None:
+                stop = self.close(found.end()) + 1
+                if stop:
+                    name, attributes = found[1].lower(), page[found.end() : stop - 1]
+                elif begin < self.last:
+                    stop = page.index(">", at) + 1
+                elif ended:
+                    stop = len(page)
+                else:
+                    continue
+            elif page.startswith(("!", "?", "/"), at):
+                stop = page.find(">", at)
+                stop = len(page) if stop < 0 else stop + 1
+            else:
+                continue
+            at = (yield begin, stop, name, ended, attributes) or stop
+
+
+class OpenElements:
+    """Elements not yet closed, with the depths at which each tag and any block stands."""
+
+    def __init__(self, root: Element):
+        self.stack, self.names = [root], [""]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: Element, names: str) -> None:
+        self.depths.setdefault(element.tag, []).append(len(self.stack))
+        if element.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+        self.names.append(names)
+
+    def pop(self) -> None:
+        element = self.stack.pop()
+        element.close(self.names.pop())
+        if self.stack:
+            self.depths[element.tag].pop()
+            if element.tag in BLOCKS:
+                self.blocks.pop()
+
+    def nearest(self, tags) -> int:
+        if tags is BLOCKS:
+            return self.blocks[-1] if self.blocks else 0
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def end(self, tags, stop=()) -> None:
+        """Close the nearest open element of ``tags``, unless one of ``stop`` is nearer."""
+        if self.stack[-1].tag in tags:
+            if len(self.stack) > 1:
+                self.pop()
+            return
+        depth = self.nearest(tags)
+        if depth and depth >= self.nearest(stop):
+            while len(self.stack) > depth:
+                self.pop()
+
+
 def parse(page: str) -> Element:
     """Element tree of a page."""
     root = Element("#page")
-    stack, names = [root], [""]
-
-    def pop() -> None:
-        stack.pop().close(names.pop())
-
-    def end(tags, stop=()) -> None:
-        """Close the nearest open element of ``tags``, unless one of ``stop`` is nearer."""
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in tags:
-                while len(stack) > depth:
-                    pop()
-                return
-            if stack[depth].tag in stop:
-                return
-
-    at = 0
-    while (found := _TAG.search(page, at)) is not None:
-        if found.start() > at:
-            stack[-1].parts.append(page[at : found.start()])
-        at = found.end()
-        if found[2] is None:
-            continue
-        tag = found[2].lower()
-        if found[1]:
+    still_open = OpenElements(root)
+    stack, end = still_open.stack, still_open.end
+    at, tags = 0, iter(Tags(page))
+    found = next(tags, None)
+    while found is not None:
+        begin, stop, tag, ended, attributes = found
+        if begin > at:
+            stack[-1].parts.append(page[at:begin])
+        at = stop
+        if tag is None:
+            pass
+        elif ended:
             end((tag,), () if tag in ("article", "main", "body", "html") else ("article",) if tag in BLOCKS else BLOCKS)
-            continue
-        if tag in ENDS_PARAGRAPH:
-            end(("p",), ("article", "div", "section", "li", "td", "table"))
-        if tag in SIBLINGS:
-            end(*SIBLINGS[tag])
-        inside = stack[-1].inside
-        other, classes = is_other(tag, found[3], inside)
-        element = Element(tag, other, inside or tag == "article")
-        stack[-1].parts.append(element)
-        if tag in VOID or found[3].endswith("/"):
-            element.close(classes)
-        elif tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = close.start() if close else len(page)
-            element.close(classes)
         else:
-            stack.append(element)
-            names.append(classes)
+            if tag in ENDS_PARAGRAPH:
+                end(("p",), ("article", "div", "section", "li", "td", "table"))
+            if tag in SIBLINGS:
+                end(*SIBLINGS[tag])
+            inside = stack[-1].inside
+            other, classes = is_other(tag, attributes, inside)
+            element = Element(tag, other, inside or tag == "article")
+            stack[-1].parts.append(element)
+            if tag in VOID or attributes.endswith("/"):
+                element.close(classes)
+            elif tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+                at = close.start() if close else len(page)
+                element.close(classes)
+            else:
+                still_open.push(element, classes)
+        try:
+            found = tags.send(at)
+        except StopIteration:
+            break
     if at < len(page):
         stack[-1].parts.append(page[at:])
     while stack:
-        pop()
+        still_open.pop()
     return root
 
 
