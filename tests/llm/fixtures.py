@@ -6,7 +6,10 @@ import random
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside.
-CLASHING = ("size", "rep", "node", "label", "rank", "score", "copies", "kept", "word", "n", "id", "_key", "_text")
+CLASHING = (
+    "size", "rep", "node", "label", "rank", "score", "copies", "kept", "word", "n", "id", "_key", "_text", "_row", "_copies", "_copy", "key", "row",
+    "toxic", "x", "target",
+)
 
 
 def sentence(rng: random.Random, words: int) -> str:

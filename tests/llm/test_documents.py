@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from fixtures import awkward_texts, docs, sentence
@@ -170,6 +173,16 @@ def test_mixing_meets_its_targets(spark):
         assert abs(sum(r.taken for r in own) - alike[key] * key[1]) <= alike[key] * max(r.size for r in own)
 
 
+def test_mix_with_clashing_names(spark):
+    frame = docs(spark, clashing=True)
+    got = mixing.mix(frame)
+    assert got.columns == frame.columns
+    plan = Counter()
+    for r in mixing.mix_plan(docs(spark)).collect():
+        plan[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in got.collect()) == +plan
+
+
 def test_mix_repeats_whole_rows(spark):
     frame = docs(spark, clashing=True)
     plan = Counter()
@@ -267,6 +280,27 @@ def test_grammar_patterns():
     assert found(None) == {} and found("") == {}
 
 
+def test_clauses_equal_a_plain_cut():
+    g = toxicity.Grammar(("idiot$", "lowei"))
+    rng = random.Random(3)
+    parts = ["idiot", "loweish", "you", "are", "not", "xidiot", ". ", "! ", "?", "; ", "\n", " ", ", "]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        begins = [m.start() for w in ("idiot", "lowei") for m in re.finditer(rf"(?<![a-z]){w}", text)]
+        cuts = [-1, *(i for i, c in enumerate(text) if c in toxicity.CLAUSE_END), len(text)]
+        want = {(max(c for c in cuts if c < b) + 1, min(c for c in cuts if c > b)) for b in begins}
+        assert g.clauses(text) == want
+
+
+def test_very_long_texts_take_linear_time_and_every_insult_counts():
+    g = toxicity.Grammar(("idiot$",))
+    begun = time.monotonic()
+    counts = dict(zip(toxicity.PATTERNS, g.patterns("an idiot; x " * 100_000)))
+    assert counts["i"] == 100_000 and sum(counts.values()) == 100_000
+    assert time.monotonic() - begun < 20
+    assert toxicity.strength(np.array([0, 1, 3, 100_000])).tolist()[:3] == [0, 1, 2]
+
+
 def test_toxicity_learns_from_labels(spark):
     import random
 

@@ -16,8 +16,10 @@ Scoring is one pass over the texts without a shuffle. An Aho-Corasick automaton
 finds lexicon words; clauses without any match no pattern and need no parse.
 
 Defined results. Null and empty texts match nothing and get the score of an
-unremarkable text. Labels that are null or have no document are ignored, several
-labels of a document count as toxic if one is. Without labels the fixed seed
+unremarkable text. Very long texts are read whole, in time that grows with their
+length, clause by clause. Labels that are null or have no document are ignored, several
+labels of a document count as toxic if one is; a doc_id on several rows is
+learned from its smallest text. Without labels the fixed seed
 words and prior weights decide. Rows that repeat get equal scores. Extra columns
 are ignored (``without_toxic`` keeps them).
 """
@@ -69,8 +71,6 @@ PATTERNS = {
     "g": 2.0,  # reported threat
 }
 PRIOR_BIAS = -3.0
-#: Occurrences of a pattern that add weight.
-MOST = 5
 SYMBOLS = "wuihtnr."
 
 
@@ -150,6 +150,7 @@ class Grammar:
         self.finder.make_automaton()
         self.threat = re.compile("|".join(rf"\b{re.escape(t)}\b" for t in THREATS))
         self.word = re.compile(r"\x00|[^\W\d_]+(?:'[^\W\d_]+)?")
+        self.stop = re.compile(f"[{re.escape(CLAUSE_END)}]")
 
     def symbol(self, word: str) -> str:
         if word == "\0":
@@ -161,16 +162,20 @@ class Grammar:
         return self.fixed.get(word, "w")
 
     def clauses(self, text: str) -> set[tuple[int, int]]:
-        """Bounds of the clauses that hold a lexicon entry at the beginning of a word."""
+        """Bounds of the clauses that hold a lexicon entry at the beginning of a word.
+
+        No entry holds a clause end, so each search starts at the end of the clause before
+        and the text is read once, however long it is.
+        """
         found = set()
-        done = -1
+        done = 0
         for end, size in self.finder.iter(text):
             begin = end - size + 1
             if end < done or (begin and text[begin - 1].isalpha()):
                 continue
-            left = max(text.rfind(c, 0, begin) for c in CLAUSE_END) + 1
-            stops = [at for at in (text.find(c, end) for c in CLAUSE_END) if at >= 0]
-            done = min(stops, default=len(text))
+            left = max(text.rfind(c, done, begin) for c in CLAUSE_END) + 1
+            stop = self.stop.search(text, end)
+            done = stop.start() if stop else len(text)
             found.add((left, done))
         return found
 
@@ -184,7 +189,12 @@ class Grammar:
                 state, output = self.machine.step(state, self.symbol(word))
                 if output in counts:
                     counts[output] += 1
-        return [min(n, MOST) for n in counts.values()]
+        return list(counts.values())
+
+
+def strength(counts: np.ndarray) -> np.ndarray:
+    """Weight of a pattern's occurrences: the first counts 1, further ones ever less, without an end."""
+    return np.log2(1 + counts)
 
 
 @dataclass
@@ -227,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     labels = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(share)) == 0)
     # the sample is bounded by train_rows, so it can be copied to every executor
     sample = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
-    sample = checkpointed(sample.repartition("doc_id"))
+    sample = checkpointed(sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
 
     marked = sample.select("toxic", F.explode(entries(F.col("text"))).alias("entry"))
     counts = marked.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
@@ -290,7 +300,7 @@ def fit(groups: list, rounds: int = 300, pull: float = 2.0) -> tuple[tuple[float
     prior = np.array([*PATTERNS.values(), PRIOR_BIAS])
     if not groups:
         return tuple(prior[:-1]), float(prior[-1])
-    x = np.array([[*g["x"], 1] for g in groups], float)
+    x = np.array([[*strength(np.array(g["x"], float)), 1] for g in groups])
     y = np.array([g["toxic"] for g in groups], float)
     n = np.array([g["count"] for g in groups], float)
     pulls = np.full(len(prior), pull)
@@ -308,7 +318,7 @@ def fit(groups: list, rounds: int = 300, pull: float = 2.0) -> tuple[tuple[float
 
 
 def scores_of(model: Model, grammar: Grammar, texts: list[str | None]) -> np.ndarray:
-    x = np.array([grammar.patterns(t) for t in texts], float).reshape(len(texts), len(PATTERNS))
+    x = strength(np.array([grammar.patterns(t) for t in texts], float).reshape(len(texts), len(PATTERNS)))
     return 1 / (1 + np.exp(-(x @ np.array(model.weights) + model.bias)))
 
 
