@@ -48,3 +48,22 @@ def test_stages_and_run_agree_with_plain_versions(spark, tmp_path):
         assert r.ids == library.encode(text[r.doc_id], add_special_tokens=False).ids
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()) == ids["bpe"]
+
+
+def test_awkward_rows_and_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rng = random.Random(4)
+    rows = awkward_texts() + [(None, sentence(rng, 50), None), (700, sentence(rng, 50), None), (None, None, "z")]
+    rows += [(800, sentence(rng, 40), "z")] * 5
+    stage = docs(spark, rows, clashing=True)
+    columns = stage.columns
+    for i, (name, function) in enumerate(corpus_pipeline.STAGES):
+        out = function(spark, stage, str(tmp_path))
+        assert name == "bpe" or out.columns == columns
+        out.write.parquet(f"{tmp_path}/{i}")
+        stage = spark.read.parquet(f"{tmp_path}/{i}")
+    kept = Counter(r.doc_id for r in stage.select("doc_id").collect())
+    assert kept[700] > 0 and kept[None] > 0 and 0 < kept[800] <= 2
+
+    docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

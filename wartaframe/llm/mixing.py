@@ -146,16 +146,13 @@ def mix_plan(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs`` with all their columns, repeated as planned."""
-    plan = mix_plan(docs, **options).groupBy("doc_id", "_text").agg(F.sum("copies").alias("_copies"))
-    plan = plan.filter("_copies > 0").select(
-        F.struct(F.col("doc_id"), F.col("_text")).alias("_row"), "_copies"
-    )
+    # the columns of docs stay inside one struct, so that no name of theirs can meet one of the plan's
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"))
-    rows = docs.withColumn("_row", own).dropDuplicates(["_row"])
-    repeated = rows.join(plan, "_row").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    )
-    return repeated.select(*docs.columns)
+    rows = docs.select(own.alias("key"), F.struct("*").alias("row")).dropDuplicates(["key"])
+    plan = mix_plan(docs.select("doc_id", "text", "source"), **options)
+    plan = plan.groupBy(F.struct("doc_id", "_text").alias("key")).agg(F.sum("copies").cast("int").alias("copies"))
+    repeated = rows.join(plan.filter("copies > 0"), "key")
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 #: The plan in DuckDB SQL, with the parameters above.
