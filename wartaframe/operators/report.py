@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from wartaframe.functions import dates
 from wartaframe.functions import fixed_values as fixed
+from wartaframe.operators.order import key_at
 from wartaframe.schemas import ARTICLE_RESULT, REPORT_ARTICLE
+from wartaframe.session import checkpointed
 
 
 def daily_trend(articles: DataFrame) -> DataFrame:
@@ -82,7 +84,18 @@ def of_sources(articles: DataFrame, sources: list[str]) -> DataFrame:
 
 
 def page_of(articles: DataFrame, page: int, size: int = fixed.PAGE_SIZE) -> DataFrame:
-    return articles.orderBy("seq").offset((page - 1) * size).limit(size)
+    """The rows of a 1-based page in the order of ``seq``; only they are sorted."""
+    keys = checkpointed(articles.select("seq"))
+    before, last = key_at(keys, (page - 1) * size), key_at(keys, page * size)
+    if page < 1 or (page > 1 and before is None):
+        return articles.limit(0)
+    rows = articles if before is None else articles.filter(F.col("seq") > before)
+    return (rows if last is None else rows.filter(F.col("seq") <= last)).orderBy("seq")
+
+
+def page_after(articles: DataFrame, seq: int, size: int = fixed.PAGE_SIZE) -> DataFrame:
+    """The page that follows the row ``seq``: no place is counted, earlier rows are not read."""
+    return page_of(articles.filter(F.col("seq") > seq), 1, size)
 
 
 def page_count(articles: DataFrame, size: int = fixed.PAGE_SIZE) -> DataFrame:
