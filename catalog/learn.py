@@ -173,7 +173,8 @@ FROM scored, (VALUES ('corpus', 'lexicon'), ('saved', 'human labels')) AS b(bran
 def model_precedence(spark, sf_dir):
     """Without a saved model the corpus model predicts, with one that model; the row says what it learnt from."""
     docs = checkpointed(scored(spark, sf_dir))
-    saved, metrics = classify.train_golden(golden(spark, sf_dir), rules=P.RULES)
+    trained, metrics = classify.train_golden(golden(spark, sf_dir), rules=P.RULES)
+    saved = classify.SvmModel.from_tables(*[checkpointed(table) for table in trained.tables(spark)])
     branches = {"corpus": classify.classify(docs, rules=P.RULES), "saved": classify.classify(docs, saved, metrics, rules=P.RULES)}
     score = F.col("sentiment_score")
     rows = [
@@ -187,6 +188,25 @@ def model_precedence(spark, sf_dir):
     return rows[0].union(rows[1])
 
 
+@query(
+    "w8_model_terms",
+    with_ctes(GOLDEN, SPLIT, "train AS (SELECT * FROM split WHERE NOT is_test)",
+              TERMS.format(source="train", min_df=1, max_features=5000))
+    + """SELECT term, round(ln((1 + (SELECT count(*) FROM train)) / (1 + df)) + 1, 6) AS idf,
+  (SELECT count(DISTINCT label_manual) FROM train)::INTEGER AS n_weights FROM chosen""",
+)
+def model_terms(spark, sf_dir):
+    """Vocabulary of the model trained on the human labels, as its table holds it."""
+    terms, _ = classify.train_golden(golden(spark, sf_dir), rules=P.RULES)[0].tables(spark)
+    return terms.select("term", r6("idf").alias("idf"), F.size("weights").alias("n_weights"))
+
+
+@query("w8_model_classes")
+def model_classes(spark, sf_dir):
+    """Weights beside the vocabulary and the sigmoid of each class: learned, so without SQL."""
+    return classify.train_golden(golden(spark, sf_dir), rules=P.RULES)[0].tables(spark)[1]
+
+
 EVALUATED = f"""{SCORED},
 {HUMAN},
 pairs AS (SELECT label_manual AS actual, sentiment AS predicted FROM scored JOIN human USING (seq)),

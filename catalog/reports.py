@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import params as P
 from catalog.adapter import ARTICLES, CLEANED, STEMMED, articles, cleaned, r6, stemmed, stemmed_from, with_ctes
 from catalog.collect import FETCHED, TRIED, filled
 from catalog.dedup import EXACT, GREEDY, PAIRS, VECTORS
-from catalog.learn import EVALUATED, OVERALL, FULL_REPORT, evaluated
+from catalog.learn import EVALUATED, FULL_REPORT, GOLDEN, OVERALL, SPLIT, evaluated, golden
 from catalog.registry import query
 from catalog.sentiment import SCORED, lexicon, scored
-from catalog.topics import ALL, CATEGORIES, SUMMARY, assigned, categories_of, given_words
+from catalog.topics import (
+    ALL, CATEGORIES, DEFINITIONS, GIVEN, SUMMARY, VOCABULARY, assigned, categories_of, given_words,
+)
 from wartaframe.functions import dates
-from wartaframe.operators import collect, dedup, evaluate, keywords, prepare, report, sentiment, topics
+from wartaframe.operators import classify, collect, dedup, evaluate, keywords, prepare, report, sentiment, topics
+from wartaframe.plans.analyze import run_counts
+from wartaframe.plans.outputs import report_tables
 from wartaframe.session import checkpointed
 
 NGRAMS = """grams AS (SELECT seq, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) AS kata,
@@ -229,24 +235,27 @@ NEAR_OF_EXACT = (
 )
 
 
-@query(
-    "w2_summary_table",
-    with_ctes(STEMMED, SCORED, FETCHED, TRIED, RUN_EXACT, *NEAR_OF_EXACT, RUN, recursive=True)
-    + """SELECT unnest(generate_series(1, 9))::INTEGER AS no, unnest(['Total berita (sebelum dedup)', 'Total kandidat dicoba', 'Berhasil di-scrape',
+SUMMARY_SHEET = """summary_sheet AS (SELECT unnest(generate_series(1, 9))::INTEGER AS no, unnest(['Total berita (sebelum dedup)', 'Total kandidat dicoba', 'Berhasil di-scrape',
   'Setelah dedup exact', 'Setelah dedup semantic', 'Total berita final', 'Sentimen Positif', 'Sentimen Negatif', 'Sentimen Netral']) AS "Metrik",
-  unnest([a, b, c, d, e, e, p, n, o])::VARCHAR AS "Nilai" FROM run""",
-)
-def summary_table(spark, sf_dir):
-    docs = checkpointed(labelled(spark, sf_dir))
+  unnest([a, b, c, d, e, e, p, n, o])::VARCHAR AS "Nilai" FROM run)"""
+
+
+def run_of(docs, spark, sf_dir):
+    """Unique documents of a run, and its counts."""
     tried = collect.until_quota(filled(spark, sf_dir), P.LIMIT)
     collected = collect.collection_counts(collect.top_up(tried, P.LIMIT), tried)
     exact = checkpointed(dedup.exact_dedup(docs))
     unique = checkpointed(dedup.near_dedup(exact, threshold=P.THRESHOLD))
-    from wartaframe.plans.analyze import _run_counts
+    return unique, run_counts(dedup.funnel(docs, exact, unique), report.sentiment_counts(unique), collected)
 
-    return report.summary_table(
-        _run_counts(dedup.funnel(docs, exact, unique), report.sentiment_counts(unique), collected)
-    )
+
+@query(
+    "w2_summary_table",
+    with_ctes(STEMMED, SCORED, FETCHED, TRIED, RUN_EXACT, *NEAR_OF_EXACT, RUN, SUMMARY_SHEET, recursive=True)
+    + "SELECT * FROM summary_sheet",
+)
+def summary_table(spark, sf_dir):
+    return report.summary_table(run_of(checkpointed(labelled(spark, sf_dir)), spark, sf_dir)[1])
 
 
 @query(
@@ -274,23 +283,22 @@ def topic_table(spark, sf_dir):
     return report.topic_table(rows)
 
 
-@query(
-    "w6_validation_table",
-    with_ctes(STEMMED, EVALUATED, OVERALL)
-    + """SELECT unnest(generate_series(1, 8))::INTEGER AS no, unnest(['Model dilatih?', 'Accuracy', 'Precision', 'Recall', 'F1-score',
-  'Jumlah data latih', 'Jumlah data uji', 'Catatan']) AS "Metrik",
-  unnest(['true', round(accuracy * 1000)::BIGINT::VARCHAR, round(precision * 1000)::BIGINT::VARCHAR, round(recall * 1000)::BIGINT::VARCHAR,
-  round(f1 * 1000)::BIGINT::VARCHAR, '0', rows::VARCHAR, 'per mille']) AS "Nilai" FROM overall""",
-)
+VALIDATION_SHEET = """validation_sheet AS (SELECT unnest(generate_series(1, 8))::INTEGER AS no, unnest(['Model dilatih?', 'Accuracy', 'Precision', 'Recall',
+  'F1-score', 'Jumlah data latih', 'Jumlah data uji', 'Catatan']) AS "Metrik",
+  unnest(['true', 'true', 'true', 'true', 'true', (SELECT count(*) FROM split WHERE NOT is_test)::VARCHAR,
+    (SELECT count(*) FROM split WHERE is_test)::VARCHAR, NULL]) AS "Nilai")"""
+
+
+def metrics_in_range(sheet):
+    """The validation sheet; of its four figures between 0 and 1 that cannot come from SQL, whether they are."""
+    value = F.col("Nilai").cast("double").between(0, 1).cast("string")
+    return sheet.withColumn("Nilai", F.when(F.col("no").between(2, 5), value).otherwise(F.col("Nilai")))
+
+
+@query("w6_validation_table", with_ctes(GOLDEN, SPLIT, VALIDATION_SHEET) + "SELECT * FROM validation_sheet")
 def validation_table(spark, sf_dir):
-    metrics = evaluate.overall_metrics(evaluated(spark, sf_dir))
-    mille = [F.round(F.col(c) * 1000).cast("bigint").alias(c) for c in ("accuracy", "precision", "recall", "f1")]
-    return report.validation_table(
-        metrics.select(
-            F.lit(True).alias("trained"), *mille, F.lit(0).alias("train_size"),
-            F.col("rows").alias("test_size"), F.lit("per mille").alias("note"),
-        )
-    )
+    """Of the model trained on the human labels."""
+    return metrics_in_range(report.validation_table(classify.train_golden(golden(spark, sf_dir), rules=P.RULES)[1]))
 
 
 @query(
@@ -309,44 +317,37 @@ def evaluation_lines(spark, sf_dir):
 
 @query(
     "w1_report_bundle",
-    with_ctes(STEMMED, EVALUATED, NGRAMS.format(n=1, k=100).replace("ranked AS", "top_words AS"),
-              OVERALL)
-    + """SELECT 'ringkasan' AS sheet, 9::BIGINT AS n UNION ALL SELECT 'berita', count(*) FROM scored
-UNION ALL SELECT 'kata_kunci', count(*) FROM top_words UNION ALL SELECT 'topik_lda', 5
-UNION ALL SELECT 'validasi_model', 8 FROM overall""",
+    with_ctes(
+        GOLDEN, SPLIT, VALIDATION_SHEET, SCORED, FETCHED, TRIED, RUN_EXACT, *NEAR_OF_EXACT, RUN, VOCABULARY,
+        NGRAMS.format(n=1, k=100).replace("FROM stemmed", "FROM near"), GIVEN.format(k=5).replace("words AS", "topic_words AS"),
+        DEFINITIONS.replace("FROM stemmed", "FROM near").replace("FROM words", "FROM topic_words"), SUMMARY_SHEET, recursive=True,
+    )
+    + f"""SELECT 'ringkasan' AS sheet, "Metrik" AS nama, "Nilai" AS nilai FROM summary_sheet
+UNION ALL SELECT 'berita', judul, sentiment FROM near
+UNION ALL SELECT 'kata_kunci', kata, frekuensi::VARCHAR FROM ranked
+UNION ALL SELECT 'topik_lda', label, terms || ': ' || jumlah_berita FROM ({SUMMARY})
+UNION ALL SELECT 'validasi_model', "Metrik", "Nilai" FROM validation_sheet""",
 )
 def report_bundle(spark, sf_dir):
-    """The five tables of a report with given topics and lexicon labels, as row counts."""
-    from wartaframe.plans.outputs import report_tables
-
-    docs = labelled(spark, sf_dir)
-    counts = report.sentiment_counts(docs)
-    metrics = evaluate.overall_metrics(evaluated(spark, sf_dir))
-    n = F.col("total_berita")
-    tables = report_tables(
+    """The rows of the five sheets of one run: its counts, unique articles, words, given topics and trained model."""
+    docs = checkpointed(labelled(spark, sf_dir))
+    unique, counts = run_of(docs, spark, sf_dir)
+    sheets = report_tables(
         {
-            "run_counts": counts.select(
-                "*", *[n.alias(c) for c in (
-                    "jumlah_sebelum_dedup", "total_pool_dicoba", "jumlah_didapat",
-                    "jumlah_setelah_exact_dedup", "jumlah_setelah_semantic_dedup")]
-            ),
-            "articles": docs,
-            "top_keywords": keywords.top_keywords(docs),
-            "topics": topics.topic_summary(
-                assigned(docs), topics.topic_definitions(given_words(docs, 5))
-            ),
-            "validation": metrics.select(
-                F.lit(True).alias("trained"), "accuracy", "precision", "recall", "f1",
-                F.lit(0).alias("train_size"), F.col("rows").alias("test_size"),
-                F.lit("").alias("note"),
-            ),
+            "run_counts": counts,
+            "articles": unique,
+            "top_keywords": keywords.top_keywords(unique),
+            "topics": topics.topic_summary(assigned(unique), topics.topic_definitions(given_words(docs, 5))),
+            "validation": classify.train_golden(golden(spark, sf_dir), rules=P.RULES)[1],
         }
     )
-    sheets = [
-        t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("sheet"), "n")
-        for name, t in tables.items()
+    sheets["validasi_model"] = metrics_in_range(sheets["validasi_model"])
+    shown = {
+        "ringkasan": ("Metrik", "Nilai"), "berita": ("judul", "sentiment"), "kata_kunci": ("kata", "frekuensi"),
+        "topik_lda": ("label", F.concat_ws(": ", "terms", "jumlah_berita")), "validasi_model": ("Metrik", "Nilai"),
+    }
+    rows = [
+        sheets[sheet].select(F.lit(sheet).alias("sheet"), F.col(name).alias("nama"), (F.col(value) if isinstance(value, str) else value).cast("string").alias("nilai"))
+        for sheet, (name, value) in shown.items()
     ]
-    bundle = sheets[0]
-    for sheet in sheets[1:]:
-        bundle = bundle.union(sheet)
-    return bundle
+    return reduce(DataFrame.union, rows)

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,43 @@ def test_train_save_and_precedence(spark, tmp_path):
     assert all(0 < r.sentiment_score <= 1 for r in predicted)
     truth = {r[0]: r[2] for r in rows}
     assert sum(r.sentiment == truth[r.seq] for r in predicted) >= 85
+    # The model as rows gives the same predictions, bit for bit.
+    assert loaded == model == classify.SvmModel.from_tables(*model.tables(spark))
+    before = model.predict(classify.with_model_input(golden.select("seq", "text_final")))
+    assert {tuple(r) for r in before.select("seq", "sentiment", "sentiment_score").collect()} == {
+        (r.seq, r.sentiment, r.sentiment_score) for r in predicted
+    }
+
+
+def test_svms_of_all_blocks_equal_svms_fitted_one_by_one(spark):
+    """Each class of the common fit has the objective that a fit of its own reaches."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        label = LABELS[i * i % 3]
+        words = rng.choices(["a" + label, "b" + label, "bb", "cc", "dd", "ee"], k=6)
+        rows.append((i, " ".join(words).lower(), label))
+    golden = classify.with_model_input(
+        spark.createDataFrame(rows, "seq bigint, text_final string, label_manual string")
+    )
+    settings = classify.SvmSettings(tolerance=1e-7, iterations=400)
+    model = classify.fit_svm(golden, "label_manual", settings)
+    weighted = golden.join(classify.class_weights(golden, "label_manual").select("label_manual", "weight"), "label_manual")
+    x = model.pipeline.transform(weighted).select("features", "weight", "label_manual").collect()
+    features = np.array([[*r.features.toArray(), 1.0] for r in x])
+    weight = np.array([r.weight for r in x])
+    for c in model.classes:
+        sign = np.array([1.0 if r.label_manual == c.label else -1.0 for r in x])
+
+        def objective(w):
+            return 0.5 * w @ w + settings.penalty * weight @ np.maximum(0, 1 - sign * (features @ w))
+
+        fitted = np.array([*c.terms, c.direction, c.intercept])
+        # Plain subgradient descent with falling steps, the best point it sees.
+        w, best = np.zeros(len(fitted)), np.inf
+        for step in range(1, 6001):
+            active = sign * (features @ w) < 1
+            w = w - (w - settings.penalty * (weight * sign * active) @ features) / (step + 10)
+            best = min(best, objective(w))
+        assert objective(fitted) <= best * 1.02
+        assert c.slope > 0
