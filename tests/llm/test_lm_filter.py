@@ -11,12 +11,8 @@ from fixtures import docs
 from wartaframe.llm import lm_scoring
 
 
-def middle(count: int) -> float:
-    return max(1, 0.75 * 2.0 ** (int(math.log2(count)) + 1)) if count else 0
-
-
 def plain_scores(rows) -> dict[int, float]:
-    """Scores from dictionaries of all training words and pairs, quantised, without a filter."""
+    """Scores from dictionaries of all training words and pairs, with exact counts."""
     tokens = {i: [*text.split(), None] for i, text, _ in rows}
     train = [ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     one = Counter(w for ws in train for w in ws)
@@ -26,10 +22,9 @@ def plain_scores(rows) -> dict[int, float]:
     for i, ws in tokens.items():
         out[i] = 0.0
         for v, w in zip([None, *ws], ws):
-            p = (middle(one[w]) + 1) / scale
+            p = (one[w] + 1) / scale
             if v is not None and one[v]:
-                both = min(middle(two[v, w]), one[v])
-                p = lm_scoring.PAIR_WEIGHT * both / one[v] + (1 - lm_scoring.PAIR_WEIGHT) * p
+                p = lm_scoring.PAIR_WEIGHT * two[v, w] / one[v] + (1 - lm_scoring.PAIR_WEIGHT) * p
             out[i] += math.log10(p)
     return out
 
@@ -48,13 +43,32 @@ def corpus(n: int = 300):
 
 def test_scores_stay_near_exact_counts_with_many_groups(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "GROUP_TOKENS", 500)
-    monkeypatch.setattr(lm_scoring, "FILTER_BYTES", 4096, raising=False)
     rows = corpus()
     want = plain_scores(rows)
     got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs(spark, rows)).collect()}
     assert got.keys() == want.keys()
     off = sum(abs(got[i] - want[i]) for i in want) / sum(abs(x) for x in want.values())
-    assert off < 0.02
+    assert off < 0.005
+
+
+def test_probabilities_after_a_word_add_up(spark):
+    """Read from scores alone: all words and the end, alone and after a frequent, a middling and a rare word."""
+    train = [(i, t, s) for i, t, s in corpus() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for _, t, _ in train for w in t.split()).most_common()
+    before = [counts[0][0], counts[20][0], counts[-1][0]]
+    held = iter(i for i in range(10_000, 10**6) if zlib.crc32(str(i).encode()) % 7 == 2)
+    # An unknown word z after w has PAIR_WEIGHT less than alone; the end after z is the end alone.
+    asked = {next(held): x for x in ("", "z", *(f"{w} z" for w, _ in counts), *(f"{v} {w} z" for v in before for w, _ in counts), *before)}
+    rows = train + [(i, x, "a") for i, x in asked.items()]
+    got = {asked[r.doc_id]: r.score for r in lm_scoring.lm_scores(docs(spark, rows)).collect() if r.doc_id in asked}
+    z = got["z"] - got[""]
+    rest = z + math.log10(1 - lm_scoring.PAIR_WEIGHT) + got[""]
+    alone = sum(10 ** (got[f"{w} z"] - rest) for w, _ in counts) + 10 ** got[""] + 10**z
+    assert abs(alone - 1) < 0.01
+    for v in before:
+        after = sum(10 ** (got[f"{v} {w} z"] - got[f"{v} z"]) for w, _ in counts)
+        end = 10 ** (got[v] - (got[f"{v} z"] - rest))
+        assert abs(after + end + 10 ** (z + math.log10(1 - lm_scoring.PAIR_WEIGHT)) - 1) < 0.01, v
 
 
 def test_pairs_of_rare_words_count_and_held_out_texts_do_not(spark):

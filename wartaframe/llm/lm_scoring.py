@@ -1,9 +1,11 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
 Counts of all words and of all pairs of neighbours (the end of a text is a word)
-over the training texts are quantised to powers of two; level j of an n-gram is one
+over the training texts are quantised: up to EXACT each count is a level of its own,
+above it each level is GROWTH times the one below. Level j of an n-gram is one
 element of the filter, so a count is read back by probing levels until one is
-missing. The filter is made of segments with a fixed number of bits for each
+missing, and stands for the mean count of the n-grams read at that level, which
+keeps the sum of all counts. The filter is made of segments with a fixed number of bits for each
 element, so it grows with what it holds: n-grams are dealt out by hash, about
 GROUP_TOKENS tokens a group, and each group of the shuffle counts its own exactly,
 writes its own segment and probes it for all texts that asked. No segment leaves
@@ -17,8 +19,9 @@ the piece again, which sums them up for its documents.
 
 Model: p(w) = (c(w) + 1) / (N + V + 1) from probed counts, and after a word v of the
 training texts, p(w | v) = L * c(v, w) / c(v) + (1 - L) * p(w) with L = PAIR_WEIGHT;
-every v is followed by a word or the end, so this adds up like p(w). The base score
-takes the exact counts of single words.
+every v is followed by a word or the end, so both add up to 1, but for the width of
+the levels and a chance of 1e-6 that a pair never seen is found. The base score takes
+the exact counts of single words.
 
 Defined results. A null text is empty: its only token is the end. A null doc_id
 counts as the empty text in the hash that holds documents out. Rows that repeat
@@ -42,10 +45,12 @@ from wartaframe.llm.toxicity import remainder
 from wartaframe.llm.words import Words, mix, pieces, words
 from wartaframe.session import checkpointed
 
-BITS_PER_ELEMENT = 8
-PROBES = 4
+#: A missing element is found with a chance of (1 - exp(-12 / 32))^12, below 1e-6.
+BITS_PER_ELEMENT = 32
+PROBES = 12
+EXACT, GROWTH = 16, 1.06
 #: Quantised counts end at 2^40.
-LEVELS = 41
+LEVELS = EXACT + int(np.ceil(np.log(2.0**40 / EXACT) / np.log(GROWTH)))
 PAIR_WEIGHT = 0.5
 #: Tokens of the corpus for each group of the shuffle, and the least number of groups.
 GROUP_TOKENS = 2_000_000
@@ -57,7 +62,10 @@ PAIR_BYTES = 5
 HELD_OUT = (7, 2)
 END = np.uint64(0x656E64)
 _ASKED = "piece long, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
-_ANSWERED = "piece long, bucket int, n long, v long, exact binary, word_levels binary, pair_levels binary"
+_ANSWERED = (
+    "piece long, bucket int, n long, v long, exact binary, word_levels binary, "
+    "pair_levels binary, by_level array<long>"
+)
 
 
 def _training(doc_ids: pa.Array) -> np.ndarray:
@@ -138,20 +146,24 @@ def _elements(keys: np.ndarray, level: int | np.ndarray) -> np.ndarray:
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
-    """Quantised counts: 0, then 1 + the logarithm to base 2."""
-    return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, 0)
+    """Quantised counts: 0 where there is none."""
+    above = np.log(np.maximum(counts, EXACT) / EXACT) / np.log(GROWTH)
+    return np.minimum(np.minimum(counts, EXACT) + np.ceil(above - 1e-9).astype(np.int64), LEVELS)
 
 
 def _segment(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> bytes:
     """Bits of a filter segment that holds all levels of all keys; ``most_bits`` is for tests."""
     levels = _levels(counts)
     bits = int(max(64, min(BITS_PER_ELEMENT * levels.sum(), most_bits or np.inf))) // 8 * 8
-    out = np.zeros(bits, bool)
+    out = np.zeros(bits // 8, np.uint8)
+    order = np.argsort(-levels, kind="stable")
+    keys, levels = keys[order], levels[order]
     for level in range(1, int(levels.max(initial=0)) + 1):
-        element = _elements(keys[levels >= level], level)
+        element = _elements(keys[: np.searchsorted(-levels, -level, side="right")], level)
         for probe in range(PROBES):
-            out[mix(element + np.uint64(probe)) % np.uint64(bits)] = True
-    return np.packbits(out).tobytes()
+            bit = mix(element + np.uint64(probe)) % np.uint64(bits)
+            np.bitwise_or.at(out, (bit >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (bit & np.uint64(7)).astype(np.uint8))
+    return out.tobytes()
 
 
 def joined(segments: dict[int, bytes], groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +175,21 @@ def joined(segments: dict[int, bytes], groups: int) -> tuple[np.ndarray, np.ndar
 
 
 def _middle(levels: np.ndarray) -> np.ndarray:
-    return np.where(levels > 0, np.maximum(1, 0.75 * 2.0**levels), 0)
+    """A count for each level."""
+    return np.minimum(levels, EXACT) * GROWTH ** np.maximum(levels - EXACT - 0.5, 0)
+
+
+def _by_level(levels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Number of seen n-grams read at each level, then the sums of their counts."""
+    at, count = levels[counts > 0], counts[counts > 0]
+    sums = np.bincount(at, count, LEVELS + 1)
+    return np.concatenate((np.bincount(at, minlength=LEVELS + 1), np.rint(sums).astype(np.int64)))
+
+
+def _means(by_level: np.ndarray) -> np.ndarray:
+    """Mean count of the n-grams read at each level; the middle where there is none."""
+    n, total = by_level.reshape(2, -1)
+    return np.where(n > 0, total / np.maximum(n, 1), _middle(np.arange(LEVELS + 1)))
 
 
 @dataclass
@@ -184,12 +210,11 @@ class CountFilter:
         rows = np.arange(len(keys))
         for step in range(1, LEVELS + 1):
             element = _elements(keys[rows], step)
-            found = np.ones(len(rows), bool)
             for probe in range(PROBES):
                 bit = (mix(element + np.uint64(probe)) % self.bits[segment[rows]]).astype(np.int64)
                 at = self.start[segment[rows]] + bit
-                found &= (self.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-            rows = rows[found]
+                found = (self.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+                rows, element = rows[found], element[found]
             if not len(rows):
                 break
             level[rows] = step
@@ -257,11 +282,15 @@ def _answered(asked: DataFrame) -> DataFrame:
             [*parts(count[word_at], words_), b""],
             [*parts(levels[: len(word)][word_at], words_), b""],
             [*parts(levels[len(word) :][pair_at], pairs), b""],
+            [
+                *[None] * len(words_),
+                np.concatenate((_by_level(levels[: len(word)], count), _by_level(levels[len(word) :], pair_count))),
+            ],
         ]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64())]
         return pa.Table.from_arrays(
             [pa.array(c, t) for c, t in zip(rows, kinds)],
-            ["piece", "bucket", "n", "v", "exact", "word_levels", "pair_levels"],
+            ["piece", "bucket", "n", "v", "exact", "word_levels", "pair_levels", "by_level"],
         )
 
     return asked.groupBy("bucket").applyInArrow(total, _ANSWERED)
@@ -274,12 +303,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     tokens = packed.agg(F.sum("tokens")).first()[0] or 0
     groups = max(LEAST_GROUPS, -(-tokens // GROUP_TOKENS))
     answers = checkpointed(_answered(_asked(packed, groups)))
-    totals = answers.filter("piece = -1").agg(F.sum("n"), F.sum("v")).first()
-    n_train, v_train = int(totals[0] or 0), int(totals[1] or 0)
+    totals = answers.filter("piece = -1")
+    n_train, v_train = (int(x or 0) for x in totals.agg(F.sum("n"), F.sum("v")).first())
     scale = n_train + v_train + 1
+    # One row for each level, whatever the number of groups.
+    by_level = np.zeros(4 * (LEVELS + 1), np.int64)
+    for place, total in totals.select(F.posexplode("by_level")).groupBy("pos").agg(F.sum("col")).collect():
+        by_level[place] = total
+    word_mean, pair_mean = _means(by_level[: 2 * (LEVELS + 1)]), _means(by_level[2 * (LEVELS + 1) :])
 
     def score(question: pa.Table, answer: pa.Table) -> pa.Table:
-        answer = answer.sort_by("bucket").to_pydict()
+        answer = answer.drop_columns(["by_level"]).sort_by("bucket").to_pydict()
         piece = _unpacked(question.column("data")[0].as_py())
         w = words(piece.column("text"), lower=True)
         tokens, doc = _sequence(w)
@@ -298,11 +332,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
         exact, level = found(tokens, "exact", "word_levels")
         (pair_level,) = found(pair, "pair_levels")
-        likely = np.minimum(1, (_middle(level) + 1) / scale)
+        likely = np.minimum(1, (word_mean[level] + 1) / scale)
         first = exact[second - 1]
         known = first > 0
         after, once = second[known], first[known]
-        both = np.minimum(_middle(pair_level[known]), once)
+        both = np.minimum(pair_mean[pair_level[known]], once)
         likely[after] = PAIR_WEIGHT * both / once + (1 - PAIR_WEIGHT) * likely[after]
         sums = [np.bincount(doc, v, w.texts) for v in (exact > 0, np.log10(exact + 1.0), np.log10(likely))]
         n_tokens = w.counts + 1
