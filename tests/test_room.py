@@ -1,8 +1,12 @@
 """What scoring and near-duplicate removal shuffle and store, against the rows they find."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
 from wartaframe.operators import joins, sentiment, similarity
 from wartaframe.session import checkpointed
 
@@ -66,3 +70,47 @@ def test_a_stored_corpus_has_one_text_for_its_tokens(spark, tmp_path):
     stored = corpus(spark, str(tmp_path), "judul")
     assert sorted(map(str, want.collect())) == sorted(map(str, stored.select(*want.columns).collect()))
     assert "tokens_stemmed" not in stored._jdf.queryExecution().logical().toString().split("LogicalRDD")[-1]
+
+
+
+
+def test_more_phrases_than_rows_to_broadcast_stay_beside_the_text(spark, monkeypatch):
+    # phrases outgrow their words: as numbers they are copied although a table of so many texts would not be
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 50)
+    words = [f"w{i}x" for i in range(12)]
+    phrases = [f"{a} {b}" for a in words[:10] for b in words]
+    lexicon = spark.createDataFrame([(i, p, 1.0) for i, p in enumerate(phrases)], "entry_id bigint, phrase string, weight double")
+    texts = [(i, " ".join(words[(i + j * j) % 12] for j in range(8))) for i in range(30)]
+    docs = spark.createDataFrame(texts, "seq bigint, text_final string")
+    matches = sentiment.phrase_matches(docs, lexicon)
+    assert "_lane" not in matches._jdf.queryExecution().toString()
+    got = sorted((r.seq, r.entry_id) for r in matches.collect())
+    assert got == sorted((i, e) for i, t in texts for e, p in enumerate(phrases) if p in t)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
+def test_pairs_are_counted_by_number(spark, monkeypatch, broadcast_rows):
+    from catalog import params as P
+    from catalog.sentiment import entries
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(8)
+    # a word that only tokens of two words hold, words of too few texts, texts without a pair or a word
+    tokens = [["gold", "eau pour"] + [f"v{rng.randrange(9)}" for _ in range(rng.randrange(5))] for _ in range(19)]
+    tokens += [[f"only{i}", "gold", "gold"] for i in range(10)] + [["gold"], []]
+    docs = spark.createDataFrame(list(enumerate(tokens)), "seq bigint, tokens_stemmed array<string>")
+    docs = docs.withColumn("text_final", F.array_join("tokens_stemmed", " "))
+    singles, pairs = Counter(), Counter()
+    for row in tokens:
+        flat = " ".join(row).split()
+        singles.update(set(row))
+        pairs.update({f"{a} {b}" for a, b in zip(flat, flat[1:])})
+    want = [(w, len(w) * 7 % 11 - 5) for w, n in singles.items() if n >= P.LEXICON_DOCS]
+    want += [(w, len(w) % 7 - 3) for w, n in pairs.items() if n >= P.PHRASE_DOCS]
+    got = entries(docs)
+    if broadcast_rows:
+        # a shuffled pair is a number
+        plan = got._jdf.queryExecution().toString()
+        assert "hashpartitioning(pair#" in plan
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {"gold eau", "eau pour"} <= {w for w, _ in want}
