@@ -112,3 +112,21 @@ def test_trend_and_counts(spark):
     assert [r[0] for r in report.distinct_sources(sources).collect()] == ["Tidak diketahui", "a", "b"]
     assert report.of_sources(sources, []).count() == 4
     assert report.of_sources(sources, ["Tidak diketahui"]).count() == 2
+
+
+def test_topic_counts_are_compared_in_one_pass(spark, tmp_path, monkeypatch):
+    from catalog import topics as queries
+
+    texts = [" ".join(f"word{(i * j) % 90}x" for j in range(1, 30)) for i in range(40)]
+    docs = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    passes, whole = [], topics.window_runs
+    monkeypatch.setattr(topics, "window_runs", lambda *a, **k: passes.append(1) or whole(*a, **k))
+    best = tuple(queries.model_selection(spark, str(tmp_path)).first())
+    assert len(passes) == 1
+    corpus = queries.corpus(spark, str(tmp_path))
+    alone = {
+        k: topics.coherence(corpus, queries.given_words(corpus, k)).agg(F.round(F.avg("coherence"), 6)).first()[0]
+        for k in (3, 7)
+    }
+    assert best[1] >= max(alone.values()) and alone.get(best[0], best[1]) == best[1]
