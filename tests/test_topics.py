@@ -114,6 +114,19 @@ def test_trend_and_counts(spark):
     assert report.of_sources(sources, ["Tidak diketahui"]).count() == 2
 
 
+def test_first_places_are_numbers_of_one_word_and_of_any_size(spark):
+    big = 1 << 62
+    for shift, kind in ((0, "bigint"), (-5, "bigint"), (big, "decimal(38,0)")):
+        rows = [(shift + 2, "b c a"), (shift + 1, "x a c a b"), (shift + 3, None)]
+        df = spark.createDataFrame(rows, "seq bigint, text_final string")
+        counts = keywords.ngram_counts(df, 1)
+        assert dict(counts.dtypes)["first"] == kind
+        got = {r.kata: (r.frekuensi, int(r.first)) for r in counts.collect()}
+        at = (shift + 1) * 2**31
+        assert got == {"x": (1, at), "a": (3, at + 1), "c": (2, at + 2), "b": (2, at + 4)}
+        assert [r.kata for r in keywords.top_ngrams(df, 1, 3).collect()] == ["a", "c", "b"]
+
+
 def test_topic_counts_are_compared_in_one_pass(spark, tmp_path, monkeypatch):
     from catalog import topics as queries
 

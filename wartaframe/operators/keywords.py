@@ -12,16 +12,24 @@ from wartaframe.functions import text as tx
 
 # Arrays hold fewer elements than this, so (seq, position) is one wide number.
 POSITIONS = Decimal(1 << 31)
+#: Numbers below this leave room for a position in a bigint.
+SHORT_SEQ = 1 << 32
 
 
 def ngram_counts(docs: DataFrame, n: int, text: str = "text_final") -> DataFrame:
     """(kata, frekuensi, first): occurrences and the place of the first one.
 
-    ``first`` keeps the document order and then the position. It is one decimal,
-    so the counting stays a hash aggregate that combines before its shuffle.
+    ``first`` keeps the document order and then the position. It is one number,
+    so the counting stays a hash aggregate that combines before its shuffle: a bigint
+    where the documents' numbers, which are read first, leave room for it, else a decimal.
     """
     words = tx.word_tokens(F.col(text), min_length=1)
-    place = (F.col("seq").cast("decimal(20,0)") * F.lit(POSITIONS) + F.col("pos")).cast("decimal(38,0)")
+    seq = F.col("seq").cast("bigint")
+    least, most = docs.agg(F.min(seq), F.max(seq)).first()
+    if least is not None and -SHORT_SEQ < least and most < SHORT_SEQ:
+        place = F.shiftleft(seq, 31) + F.col("pos")
+    else:
+        place = (F.col("seq").cast("decimal(20,0)") * F.lit(POSITIONS) + F.col("pos")).cast("decimal(38,0)")
     return (
         docs.filter(F.col(text).isNotNull())
         .select("seq", F.posexplode(tx.ngrams(words, n)).alias("pos", "kata"))
