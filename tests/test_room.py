@@ -114,3 +114,25 @@ def test_pairs_are_counted_by_number(spark, monkeypatch, broadcast_rows):
         assert "hashpartitioning(pair#" in plan
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert {"gold eau", "eau pour"} <= {w for w, _ in want}
+
+
+def test_frequent_words_are_stemmed_beside_their_texts(spark, monkeypatch):
+    from wartaframe.operators import prepare
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(joins, "FREQUENT_KEYS", 30)
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(30) for _ in range(20)] + [f"rare{i}" for i in range(100)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(50))) for i in range(40)] + [(40, ""), (41, None), (1, "word1 rare2")]
+    docs = spark.createDataFrame(texts, "seq bigint, clean_text string")
+    stems = spark.createDataFrame([(w, w.upper()) for w in sorted(set(words)) if w[-1] in "02468"], "word string, stem string")
+    got = prepare.stem_articles(docs, stems, (), {}, ())
+    plan = got._jdf.queryExecution().toString()
+    assert "LeftAnti" in plan and "_lane" not in plan
+
+    def stemmed(text):
+        return " ".join(w.upper() if w[-1] in "02468" else w for w in (text or "").split())
+
+    # rows of one number share their words
+    alone = {r.seq: r.text_final for r in got.collect() if r.seq != 1}
+    assert alone == {i: stemmed(t) for i, t in texts if i != 1}
