@@ -1,6 +1,7 @@
 """What scoring and near-duplicate removal shuffle and store, against the rows they find."""
 
 import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -136,3 +137,31 @@ def test_frequent_words_are_stemmed_beside_their_texts(spark, monkeypatch):
     # rows of one number share their words
     alone = {r.seq: r.text_final for r in got.collect() if r.seq != 1}
     assert alone == {i: stemmed(t) for i, t in texts if i != 1}
+
+
+def test_beginnings_found_in_a_text_are_not_shuffled(spark, monkeypatch):
+    # they are many times the words, and grow with the phrases; parts of little text, so there are many
+    monkeypatch.setattr(joins, "PART_BYTES", 1_000)
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(40)]
+    texts = [(i // 2, " ".join(rng.choice(words) for _ in range(60))) for i in range(40)]
+    docs = spark.createDataFrame([*texts, (None, "v1 v2"), (90, None)], "seq bigint, text_final string")
+    assert joins.dealt_by(docs, "seq", "text_final").rdd.getNumPartitions() > 8
+    phrases = [f"{a} {b}" for a in words[:15] for b in words[:15]]
+    for more in ([], ["v1 v2 v3", "1 v2 v", "v3 v4 v5 v6"]):
+        wanted = phrases + more
+        lexicon = spark.createDataFrame([(i, p, i + 1.0) for i, p in enumerate(wanted)], "entry_id bigint, phrase string, weight double")
+        scores = sentiment.phrase_scores(docs, lexicon)
+        # rows of one number count a phrase once
+        hits = {(seq, e) for seq, t in texts for e, p in enumerate(wanted) if p in t}
+        if not more:
+            plan = scores._jdf.queryExecution().executedPlan().toString()
+            # only the texts are
+            assert len(re.findall(r"hashpartitioning\(seq#", plan)) == 1, plan
+            expected = {s: (sum(e + 1.0 for q, e in hits if q == s), sum(q == s for q, _ in hits)) for s, _ in hits}
+            got = {r.seq: (r.phrase_score, r.phrase_matches) for r in scores.filter("seq IS NOT NULL").collect()}
+            assert got == expected
+        else:
+            # a longer phrase may stand in both rows of a number
+            found = {(r.seq, r.entry_id) for r in sentiment.phrase_matches(docs, lexicon).filter("seq IS NOT NULL").collect()}
+            assert found == hits
