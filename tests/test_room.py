@@ -165,3 +165,31 @@ def test_beginnings_found_in_a_text_are_not_shuffled(spark, monkeypatch):
             # a longer phrase may stand in both rows of a number
             found = {(r.seq, r.entry_id) for r in sentiment.phrase_matches(docs, lexicon).filter("seq IS NOT NULL").collect()}
             assert found == hits
+
+
+@pytest.mark.parametrize("broadcast_rows", [10, 500_000])
+def test_word_counts_stay_beside_their_texts(spark, monkeypatch, broadcast_rows):
+    import math
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(joins, "FREQUENT_KEYS", 30)
+    rng = random.Random(10)
+    words = [f"word{i}" for i in range(30) for _ in range(20)] + [f"rare{i}" for i in range(100)]
+    # rows of one number are one document, as are those without a number; blank ones count
+    rows = [(i, [rng.choice(words) for _ in range(50)]) for i in range(40)]
+    rows += [(1, ["word1", "rare2"]), (None, ["word3"]), (None, ["rare4", "word3"]), (90, []), (91, None)]
+    docs = checkpointed(spark.createDataFrame(rows, "seq bigint, tokens array<string>"))
+    weights = similarity.tfidf(similarity.term_counts(docs.repartition(7, "seq")), docs, 7)
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    # a row is sorted by its document where it is; only rare terms come back to it
+    assert not re.findall(r"hashpartitioning\(seq#\d+L?(?:, term#\d+)?, (?!7\))", plan), plan
+    assert ("LeftAnti" in plan) == (broadcast_rows == 10)
+    bags = {}
+    for seq, tokens in rows:
+        bags.setdefault(seq, Counter()).update(tokens or [])
+    df = Counter(t for bag in bags.values() for t in bag)
+    raw = {(s, t): tf * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for s, bag in bags.items() for t, tf in bag.items()}
+    norm = {s: math.sqrt(sum(x * x for (q, _), x in raw.items() if q == s)) for s in bags}
+    want = {(s, t, bags[s][t], df[t], round(x / norm[s], 9)) for (s, t), x in raw.items()}
+    got = [(r.seq, r.term, r.tf, r.df, round(r.w, 9)) for r in weights.collect()]
+    assert len(got) == len(want) and set(got) == want
