@@ -193,3 +193,23 @@ def test_word_counts_stay_beside_their_texts(spark, monkeypatch, broadcast_rows)
     want = {(s, t, bags[s][t], df[t], round(x / norm[s], 9)) for (s, t), x in raw.items()}
     got = [(r.seq, r.term, r.tf, r.df, round(r.w, 9)) for r in weights.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_scored_texts_stay_where_they_are(spark, monkeypatch):
+    rows = [(i % 30, f"good bad w{i} thing", ["good", "bad", f"w{i}", "thing"]) for i in range(40)] + [(None, "good", ["good"])]
+    docs = checkpointed(spark.createDataFrame(rows, "seq bigint, text_final string, tokens_stemmed array<string>"))
+    words = spark.createDataFrame([("good", 2.0), ("w3", -1.5)], "word string, weight double")
+    phrases = spark.createDataFrame([(1, "bad w3", 4.0)], "entry_id bigint, phrase string, weight double")
+    plain = []
+    for bound in (0, 500_000):
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", bound)
+        scored = sentiment.score_articles(docs, words, phrases)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        # the line of numbers is copied to the texts, which are not shuffled by their number
+        assert ("hashpartitioning" in plan) == (bound == 0), plan
+        plain.append(sorted(map(str, scored.collect())))
+    assert plain[0] == plain[1] and len(plain[0]) == 41
+    # rows of one number share what was found in them, rows without a number have nothing
+    by_text = {r.text_final: (r.sentiment_score_lexicon, r.jumlah_match_lexicon) for r in scored.collect()}
+    assert by_text["good bad w3 thing"] == (2.0 + 2.0 - 1.5 + 4.0, 4)
+    assert by_text["good"] == (0.0, 0)
