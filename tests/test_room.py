@@ -89,6 +89,24 @@ def test_more_phrases_than_rows_to_broadcast_stay_beside_the_text(spark, monkeyp
     assert got == sorted((i, e) for i, t in texts for e, p in enumerate(phrases) if p in t)
 
 
+@pytest.mark.parametrize("piece, starts", [(40, 3), (4 << 20, 2_000_000)])
+def test_phrases_are_looked_up_without_a_row_for_each_beginning(spark, monkeypatch, piece, starts):
+    monkeypatch.setattr(sentiment, "PIECE_BYTES", piece)
+    monkeypatch.setattr(sentiment, "PIECE_STARTS", starts)
+    rng = random.Random(11)
+    words = ["aab", "ab", "b", "béb", "bé", "c", "cc", ""]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for i in range(40)] + [(40, None)]
+    docs = spark.createDataFrame(texts, "seq bigint, text_final string")
+    wanted = ["b ab", "b béb", "é c", "ab c", "b bé c", "b b", "c aab", "nowhere b"]
+    lexicon = spark.createDataFrame([(i, p, 1.0) for i, p in enumerate(wanted)], "entry_id bigint, phrase string, weight double")
+    matches = sentiment.phrase_matches(docs, lexicon)
+    # a row for each length of a word's ending, and again for each of the next word's beginning, went through two joins
+    assert "Generate explode([" not in matches._jdf.queryExecution().toString()
+    got = sorted((r.seq, r.entry_id) for r in matches.collect())
+    assert got == sorted((i, e) for i, t in texts if t for e, p in enumerate(wanted) if p in t)
+    assert sentiment.phrase_matches(docs, lexicon.filter("weight > 1")).count() == 0
+
+
 @pytest.mark.parametrize("broadcast_rows", [0, 500_000])
 def test_pairs_are_counted_by_number(spark, monkeypatch, broadcast_rows):
     from catalog import params as P
